@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _U = np.uint64
 #: Odd multipliers of the polynomial and of the finaliser.
