@@ -32,6 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import kept
 from .text import map_batches
@@ -236,7 +237,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """page_id, url, text, n_chars for every row of pages."""
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    schema = pages.select("page_id", "url").schema.add("host", "string").add("packed", "binary").add("hashes", "array<long>")
+    schema = pages.select("page_id", "url").schema.add("host", "string").add("packed", "binary").add("hashes", T.ArrayType(T.LongType()))
 
     def read(batch):
         press = zstandard.ZstdCompressor(level=5)
