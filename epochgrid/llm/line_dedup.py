@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import kept
+from .text import as_rows
 
 MIN_PAGES = 3
 BOILERPLATE_PERCENT = 10
@@ -43,32 +44,35 @@ def boilerplate(documents: DataFrame, host_col: str = "source", text_col: str =
 
 
 def drop_boilerplate(documents: DataFrame, host_col: str = "source", text_col: str = "text", min_pages: int = MIN_PAGES, percent: int = BOILERPLATE_PERCENT) -> DataFrame:
-    """documents with the text cleaned, and the counts _n_lines and _n_dropped."""
-    names = documents.columns
+    """row (all columns of documents), cleaned, n_lines and n_dropped for every row."""
     found = kept(boilerplate(documents, host_col, text_col, min_pages, percent), "boilerplate")
-    text = F.col(f"_d.{text_col}")
+    text = F.col(f"row.{text_col}")
     lines = _lines(text)
+    met = as_rows(documents).join(found, F.coalesce(F.col(f"row.{host_col}"), F.lit("")) == F.col("_host"), "left")
     # Of the host's lines, those in this text: few, so that the search for each line is short.
-    own = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("_b._lines"))
-    keep = F.filter(lines, lambda x: ~_counted(x) | ~F.array_contains(F.col("_own"), F.xxhash64(x)))
-    joined = documents.alias("_d").join(found.alias("_b"), F.coalesce(F.col(f"_d.{host_col}"), F.lit("")) == F.col("_b._host"), "left")
-    hit = joined.select("_d.*", F.coalesce(own, F.array().cast("array<bigint>")).alias("_own")).alias("_d")
-    some = F.size("_own") > 0
-    cleaned = F.when(some, F.array_join(keep, "\n")).otherwise(text)
-    dropped = F.when(some, F.size(lines) - F.size(keep)).otherwise(0)
-    return hit.select(*[(cleaned if c == text_col else F.col(f"_d.{c}")).alias(c) for c in names], F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"), dropped.cast("long").alias("_n_dropped"))
+    own = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("_lines"))
+    hit = met.select("row", F.coalesce(own, F.array().cast("array<bigint>")).alias("own"))
+    keep = F.filter(lines, lambda x: ~_counted(x) | ~F.array_contains(F.col("own"), F.xxhash64(x)))
+    some = F.size("own") > 0
+    return hit.select(
+        "row",
+        F.when(some, F.array_join(keep, "\n")).otherwise(text).alias("cleaned"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(some, F.size(lines) - F.size(keep)).otherwise(0).cast("long").alias("n_dropped"),
+    )
 
 
 def clean(documents: DataFrame) -> DataFrame:
     """documents with all their columns, texts without boilerplate, and n_chars, if there, as it is now."""
     out = drop_boilerplate(documents)
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    new = {"text": F.col("cleaned")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("cleaned").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    return drop_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).select("row.doc_id", F.col("cleaned").alias("text"), "n_lines", "n_dropped")
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import Block, blocks, map_batches, span_hashes, sums, window_hashes
+from .text import Block, as_rows, blocks, map_batches, span_hashes, sums, texts_of, window_hashes
 
 BITS = 18
 #: Labelled rows that are read for fitting.
@@ -124,22 +124,21 @@ def train(documents: DataFrame, labels: DataFrame, use: Column | None = None, la
     return np.frombuffer(got[0][0], "<f4").astype(np.float64) if got else None
 
 
-def score(documents: DataFrame, weights: np.ndarray | None, keep: list[str], text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The columns of ``keep`` and ``_score`` for every row."""
+def score(documents: DataFrame, weights: np.ndarray | None, text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """row (all columns of documents) and score for every row."""
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(None if weights is None else weights.astype("<f4"))
-    source = documents.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = documents.select(*keep).schema.add("_score", "double")
+    rows = as_rows(documents)
 
     def work(batch):
         w = shared.value
         out = np.full(batch.num_rows, 0.5)
         if w is not None:
-            for at, texts in blocks(batch.column(batch.num_columns - 1).to_pylist()):
+            for at, texts in blocks(texts_of(batch, text_col)):
                 out[at : at + len(texts)] = _sigmoid(dots(texts, w[:-1], bits) + w[-1])
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*keep, "_score"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "score"])
 
-    return map_batches(source, source.columns, schema, work)
+    return map_batches(rows, ["row"], rows.schema.add("score", "double"), work)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -150,7 +149,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on) for every row of documents."""
     weights = train(documents, labels, ~held_out("_id"))
-    return score(documents, weights, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = score(documents.select("doc_id", "text"), weights)
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     weights = train(documents, labels, ~held_out("_id"))
     if weights is None:
         return documents
-    return score(documents, weights, documents.columns).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return score(documents, weights).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

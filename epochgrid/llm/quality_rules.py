@@ -21,9 +21,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .text import _SPACE, Block, blocks, map_batches, mix, span_hashes, sums, window_hashes
+from .text import Block, as_rows, blocks, map_batches, mix, span_hashes, sums, texts_of, window_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -97,38 +96,34 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_coverage double, " + ", ".join(f"coverage_{n} double" for n in MAX_COVERAGE)
 
 
-def rules(documents: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of ``keep`` and the measures and verdicts of SCHEMA, prefixed with ``_``."""
-    source = documents.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = documents.select(*keep).schema
-    names = []
+def rules(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """row (all columns of documents), and the measures and verdicts of SCHEMA."""
+    rows = as_rows(documents)
+    schema = rows.schema
     for part in SCHEMA.split(", "):
-        name, kind = part.split()
-        names.append(f"_{name}")
-        schema = schema.add(names[-1], kind)
+        schema = schema.add(*part.split())
 
     def work(batch):
         found: list[list[np.ndarray]] = []
-        for _, texts in blocks(batch.column(batch.num_columns - 1).to_pylist()):
+        for _, texts in blocks(texts_of(batch, text_col)):
             m = measure(texts)
             base_failed, kept = verdicts(m)
             chars = np.maximum(1, m["word_chars"])
             found.append([m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["repeat_words_3"], base_failed, kept, m["dup_line_chars"] / chars, *(m[f"repeat_chars_{n}"] / chars for n in MAX_COVERAGE)])
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=[*keep, *names])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=schema.names)
 
-    return map_batches(source, source.columns, schema, work)
+    return map_batches(rows, ["row"], schema, work)
 
 
 def judge(documents: DataFrame) -> DataFrame:
-    """One row of measures and verdicts for every row of documents."""
-    out = rules(documents, ["doc_id"])
-    return out.toDF(*[c.removeprefix("_") for c in out.columns])
+    """doc_id with its measures and verdicts, for every row of documents."""
+    out = rules(documents.select("doc_id", "text"))
+    return out.select("row.doc_id", *out.columns[1:])
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The rows of documents, with all their columns, that pass."""
-    out = rules(documents, documents.columns)
-    return out.where("_kept").select(*documents.columns)
+    return rules(documents).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

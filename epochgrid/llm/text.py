@@ -11,7 +11,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 1 << 18
 
@@ -143,3 +145,15 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, work) -> DataFra
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """One column, row: whatever the columns of df are called, no added column clashes. ``select("row.*")`` undoes it."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def texts_of(batch: pa.RecordBatch, text_col: str) -> list[str | None]:
+    """The column of this name, else the field of this name of the column row."""
+    names = batch.schema.names
+    column = batch.column(names.index(text_col)) if text_col in names else pc.struct_field(batch.column(names.index("row")), [text_col])
+    return column.to_pylist()
