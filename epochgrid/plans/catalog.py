@@ -1,4 +1,6 @@
 """All queries of the engine's own operators, by name, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import chunk_queries, signal_queries, timeline_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
