@@ -14,8 +14,9 @@ articles of a host may share passages; other elements inside an article can be.
 Character references are decoded after parsing; white space inside a block becomes one space; blocks that have text are
 joined by one line feed, in page order.
 
-The html travels compressed, and only once, to meet its templates by row number. No key is a host there, so a host
-with a third of all pages is spread like the others.
+A host has at most (subtrees per page) / ``MIN_SHARE`` templates on average. Their table is written, and Spark broadcasts
+it if its measured size is under the session's threshold, so that html is not shuffled at all; beyond that it joins on
+the host and splits hosts that hold many pages.
 
 Defined results: null or empty html gives an empty text. A null url has the empty host. Repeated rows are extracted one
 by one. An empty table gives no row. Columns other than the named ones are not read.
@@ -29,7 +30,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,34 +233,33 @@ def extract(root: Node, templates: frozenset[int] = frozenset()) -> str:
     return "\n".join(main or [t for _, t in blocks])
 
 
-def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages."""
-    host, _ = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    schema = pages.select("page_id", "url").schema.add("host", "string").add("packed", "binary").add("hashes", T.ArrayType(T.LongType()))
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """host and hashes: the template subtrees of each host that has any."""
+    rows = pages.select(host_and_path(F.col("url"))[0].alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    schema = T.StructType().add("host", "string").add("hashes", T.ArrayType(T.LongType()))
 
     def read(batch):
-        press = zstandard.ZstdCompressor(level=5)
-        sources = batch.column(2).to_pylist()
-        hashes = [list(set(subtree_hashes(parse(s)).values())) for s in sources]
-        packed = [press.compress(s.encode("utf-8", "surrogatepass")) for s in sources]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(packed, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "host", "packed", "hashes"])
-
-    # The number of a row is fixed from here on, as the rows are written.
-    parsed = kept(map_batches(rows, rows.columns, schema, read).withColumn("uid", F.monotonically_increasing_id()), "pages")
-    subtrees = parsed.select("uid", "host", F.explode("hashes").alias("hash"))
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("of"))
-    templates = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("of")).select("host", "hash")
-    own = subtrees.join(templates, ["host", "hash"], "left_semi").groupBy("uid").agg(F.collect_set("hash").alias("templates"))
-    met = parsed.drop("hashes", "host").join(own, "uid", "left")
-    out_schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
+        hashes = [list(set(subtree_hashes(parse(s)).values())) for s in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "hashes"])
+
+    counted = map_batches(rows, ["host", "html"], schema, read).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("of"))
+    often = counted.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("of"))
+    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+
+
+def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """page_id, url, text, n_chars for every row of pages."""
+    templates = kept(site_templates(pages, min_pages, min_share), "templates")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_and_path(F.col("url"))[0].alias("host"))
+    met = rows.join(templates, "host", "left")
+    schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def cut(batch):
-        press = zstandard.ZstdDecompressor()
-        texts = [extract(parse(press.decompress(p).decode("utf-8", "surrogatepass")), frozenset(t or ())) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [extract(parse(s), frozenset(t or ())) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return map_batches(met, ["page_id", "url", "packed", "templates"], out_schema, cut)
+    return map_batches(met, ["page_id", "url", "html", "hashes"], schema, cut)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
