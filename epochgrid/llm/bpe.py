@@ -32,6 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import gathered
 from .text import map_batches
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -322,7 +323,7 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = documents.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return map_batches(documents, ["doc_id", "text"], schema, work)
+    return map_batches(gathered(documents, documents), ["doc_id", "text"], schema, work)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import kept
+from .storage import gathered, kept
 from .text import map_batches
 from .url_filter import host_and_path
 
@@ -250,9 +250,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
-    templates = kept(site_templates(pages, min_pages, min_share), "templates")
+    templates = kept(site_templates(pages, min_pages, min_share), "templates", pages)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_and_path(F.col("url"))[0].alias("host"))
-    met = rows.join(templates, "host", "left")
+    met = gathered(rows, pages).join(templates, "host", "left")
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def cut(batch):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import gathered, kept
 from .text import as_rows
 
 MIN_PAGES = 3
@@ -45,10 +45,10 @@ def boilerplate(documents: DataFrame, host_col: str = "source", text_col: str =
 
 def drop_boilerplate(documents: DataFrame, host_col: str = "source", text_col: str = "text", min_pages: int = MIN_PAGES, percent: int = BOILERPLATE_PERCENT) -> DataFrame:
     """row (all columns of documents), cleaned, n_lines and n_dropped for every row."""
-    found = kept(boilerplate(documents, host_col, text_col, min_pages, percent), "boilerplate")
+    found = kept(boilerplate(documents, host_col, text_col, min_pages, percent), "boilerplate", documents)
     text = F.col(f"row.{text_col}")
     lines = _lines(text)
-    met = as_rows(documents).join(found, F.coalesce(F.col(f"row.{host_col}"), F.lit("")) == F.col("_host"), "left")
+    met = gathered(as_rows(documents), documents).join(found, F.coalesce(F.col(f"row.{host_col}"), F.lit("")) == F.col("_host"), "left")
     # Of the host's lines, those in this text: few, so that the search for each line is short.
     own = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("_lines"))
     hit = met.select("row", F.coalesce(own, F.array().cast("array<bigint>")).alias("own"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import kept
+from .storage import gathered, kept
 from .text import Block, as_rows, blocks, map_batches, mix, span_hashes, sums, texts_of, window_hashes
 
 BANDS, ROWS = 30, 5
@@ -204,7 +204,7 @@ def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     members = rows.join(once.withColumn("wide", wide).select("band", "key", "wide").hint("shuffle_merge"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("_a", "_b"), F.col("wide")))
     # Block i meets block j in one cell; a bucket of one block is a cell itself.
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)))
-    cells = kept(cells.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_a", "_b"), "cells")
+    cells = kept(cells.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_a", "_b"), "cells", classes)
     need = cells.select("_a", "_b").distinct()
     found = texts.join(need.hint("shuffle_merge"), ["_a", "_b"]).groupBy("_a", "_b").agg(F.min("_text").alias("_text"))
     cell = ["band", "key", "low", "high"]
@@ -240,9 +240,9 @@ def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 # --- components -------------------------------------------------------------------------------------------------------
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node of a pair (columns u, v). Rounds are written."""
-    edges = kept(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = kept(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", source)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -251,7 +251,7 @@ def components(pairs: DataFrame) -> DataFrame:
         # Now every edge points down: the small star of u takes its lower neighbours.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("shuffle_merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
-        edges = kept(small.distinct(), "edges")
+        edges = kept(small.distinct(), "edges", source)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == before:
             break
@@ -262,11 +262,11 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, _n, _a, _b, _component for every row of documents."""
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = kept(read_sets(source, size, True).drop("text"), "sets")
-    classes = kept(rows.where("_n > 0").groupBy("_a", "_b", "_n", "_bands").agg(F.min("doc_id").alias("first")), "classes")
+    rows = kept(read_sets(source, size, True).drop("text"), "sets", source)
+    classes = kept(rows.where("_n > 0").groupBy("_a", "_b", "_n", "_bands").agg(F.min("doc_id").alias("first")), "classes", source)
     texts = read_sets(source.select("text"), size, False).select("_a", "_b", F.col("text").alias("_text"))
     found = links(classes, texts, size, percent)
-    linked = components(found.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v")))
+    linked = components(found.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v")), classes)
     linked = linked.select(F.col("node.a").alias("_a"), F.col("node.b").alias("_b"), "root")
     own = classes.select("_a", "_b", "first").join(linked.hint("shuffle_merge"), ["_a", "_b"], "left")
     low = own.where("root is not null").groupBy("root").agg(F.min("first").alias("low"))
@@ -274,7 +274,7 @@ def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "do
     own = own.select("_a", "_b", F.coalesce("root", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("_component"))
     names = ["doc_id", "_n", "_a", "_b", "_root", "_component"]
     some = rows.where("_n > 0").select(*names[:4]).join(own.hint("shuffle_merge"), ["_a", "_b"]).select(*names)
-    return some.unionByName(rows.where("_n = 0").select(*names[:4], F.lit(None).cast(own.schema["_root"].dataType).alias("_root"), F.col("doc_id").alias("_component")))
+    return gathered(some, source).unionByName(rows.where("_n = 0").select(*names[:4], F.lit(None).cast(own.schema["_root"].dataType).alias("_root"), F.col("doc_id").alias("_component")))
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -282,13 +282,13 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     first = groups(documents, size, percent).where("_n > 0 and doc_id <=> _component")
     # Rows may share the smallest id, or have none: of those one set, and of its rows one.
     best = first.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("s"), F.count("*").alias("_rows"), F.first("_component").alias("_id"))
-    best = kept(best.select("_id", F.col("s._a").alias("_sa"), F.col("s._b").alias("_sb"), "_rows"), "first")
+    best = kept(best.select("_id", F.col("s._a").alias("_sa"), F.col("s._b").alias("_sb"), "_rows"), "first", documents)
     rows = read_sets(as_rows(documents), size, False)
     key = (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
     met = rows.where("_n > 0").join(best.hint("shuffle_merge"), key)
     alone = met.where("_rows = 1").select("row")
     several = met.where("_rows > 1").dropDuplicates(["_id", "_a", "_b"]).select("row")
-    return alone.unionByName(several).unionByName(rows.where("_n = 0").select("row")).select("row.*")
+    return gathered(alone, documents).unionByName(gathered(several, documents)).unionByName(gathered(rows.where("_n = 0").select("row"), documents)).select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import gathered
 from .text import Block, as_rows, blocks, map_batches, span_hashes, sums, texts_of, window_hashes
 
 BITS = 18
@@ -138,7 +139,7 @@ def score(documents: DataFrame, weights: np.ndarray | None, text_col: str = "tex
                 out[at : at + len(texts)] = _sigmoid(dots(texts, w[:-1], bits) + w[-1])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "score"])
 
-    return map_batches(rows, ["row"], rows.schema.add("score", "double"), work)
+    return map_batches(gathered(rows, documents), ["row"], rows.select("*").schema.add("score", "double"), work)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import gathered
 from .text import Block, as_rows, blocks, map_batches, mix, span_hashes, sums, texts_of, window_hashes
 
 MIN_WORDS = 50
@@ -99,7 +100,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def rules(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """row (all columns of documents), and the measures and verdicts of SCHEMA."""
     rows = as_rows(documents)
-    schema = rows.schema
+    schema = rows.select("*").schema
     for part in SCHEMA.split(", "):
         schema = schema.add(*part.split())
 
@@ -112,7 +113,7 @@ def rules(documents: DataFrame, text_col: str = "text") -> DataFrame:
             found.append([m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["repeat_words_3"], base_failed, kept, m["dup_line_chars"] / chars, *(m[f"repeat_chars_{n}"] / chars for n in MAX_COVERAGE)])
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=schema.names)
 
-    return map_batches(rows, ["row"], schema, work)
+    return map_batches(gathered(rows, documents), ["row"], schema, work)
 
 
 def judge(documents: DataFrame) -> DataFrame:

@@ -18,8 +18,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from Parquet: cuts the lineage, and gives fixed rows to all later readers."""
+#: Bytes of input that make a task of their own.
+TASK_BYTES = 64 << 20
+
+
+def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in as many tasks as source needs: one for each TASK_BYTES, at least four for each core.
+
+    Small inputs may lie in many tiny partitions; each would become a task, a file and its permissions. Partitions are
+    only ever put together, so a large input keeps all of its own.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
+def kept(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
+    """The same rows, read from Parquet: cuts the lineage, and gives fixed rows to all later readers. source: see gathered."""
+    if source is not None:
+        df = gathered(df, source)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import gathered, kept
 
 SHARD = 8192
 LEAF = 256
@@ -179,7 +179,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
             x[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
             yield _row(TaskContext.get().partitionId(), Tree.build(np.concatenate(ids), x))
 
-    trees = kept(rows.repartition(shards).mapInArrow(build, _SHARD_SCHEMA), "shards")
+    trees = kept(rows.repartition(shards).mapInArrow(build, _SHARD_SCHEMA), "shards", vectors)
     found = "block long, place long, query_id long, vec_id long, score long"
 
     def answers(block, places, query_ids, hits):
@@ -202,7 +202,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 one = pa.StructArray.from_arrays(a.columns, names=a.schema.names)
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([row["dim"]], pa.int64()), g(own, "<i8"), g(t.ids[own], "<i8"), g(t.vectors[own], "<f8"), g(kth, "<f8"), pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)], names=["block", "qdim", "places", "query_ids", "queries", "kth", "home"])
 
-    blocks = kept(trees.mapInArrow(at_home, f"block long, qdim long, places binary, query_ids binary, queries binary, kth binary, home array<struct<{found.replace(' long', ': long')}>>"), "queries")
+    blocks = kept(trees.mapInArrow(at_home, f"block long, qdim long, places binary, query_ids binary, queries binary, kth binary, home array<struct<{found.replace(' long', ': long')}>>"), "queries", vectors)
     first = blocks.select(F.inline("home"))
 
     def away(batches):
@@ -218,7 +218,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     met = blocks.drop("home").where(F.length("query_ids") > 0).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("block != shard")
     second = met.join(trees.hint("shuffle_merge"), "shard").mapInArrow(away, found)
     best = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
-    return first.unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return gathered(first.unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), vectors)
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import gathered
 from .text import map_batches
 
 MAX_ROWS = 10_000
@@ -197,7 +198,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         a, b, c = (batch.column(k).to_pylist() for k in (1, 2, 3))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(list(zip(a, b, c, strict=True))))], names=[*batch.schema.names, "score"])
 
-    out = map_batches(rows, rows.columns, rows.schema.add("score", "double"), work)
+    out = map_batches(gathered(rows, pages), rows.columns, rows.select("*").schema.add("score", "double"), work)
     by_method = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "score")
 
