@@ -93,28 +93,26 @@ def scan(texts: list[str], templates: Templates, contained: float = CONTAINED) -
     real = text_of[: len(shingles)] == text_of[k - 1 :]
     bounds = np.cumsum([0, *(len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts)])
     hit: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    signatures: list[np.ndarray] = []
     short, unreal = shingles.astype(np.uint32), np.flatnonzero(~real)
+    span = STRIDES + 1
+    steps = {width: np.arange(0, len(shingles), max(1, width // STRIDES)) for width in templates.classes}
+    same = {width: np.zeros((len(members), len(steps[width])), dtype=bool) for width, members in templates.classes.items()}
     for j in range(HASHES):
         h = (short ^ _XOR[j]) * _TIMES[j]
         h[unreal] = np.uint32(0xFFFFFFFF)
-        signatures.append(h)
-    for width, members in templates.classes.items():
-        stride = max(1, width // STRIDES)
-        steps = np.arange(0, len(shingles), stride)
-        span = STRIDES + 1
-        same = np.zeros((len(members), len(steps)), dtype=bool)
-        for j, h in enumerate(signatures):
-            low = np.minimum.reduceat(h, steps)
+        for width in templates.classes:
+            low = np.minimum.reduceat(h, steps[width])
             window = low.copy()
             for s in range(1, span):
                 window[:-s] = np.minimum(window[:-s], low[s:])
-            for m in range(len(members)):
-                same[m] |= window == templates.bands[width][m, j]
+            same[width] |= window[None, :] == templates.bands[width][:, j, None]
+    for width, members in templates.classes.items():
+        stride = max(1, width // STRIDES)
         for m, i in enumerate(members):
             need = templates.sets[i]
-            for w in np.flatnonzero(same[m]).tolist():
-                a, b = int(steps[w]), min(len(shingles), int(steps[w]) + span * stride)
+            for w in np.flatnonzero(same[width][m]).tolist():
+                a = int(steps[width][w])
+                b = min(len(shingles), a + span * stride)
                 found = real[a:b] & np.isin(shingles[a:b], need)
                 if not found.any():
                     continue

@@ -29,7 +29,7 @@ def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
     only ever put together, so a large input keeps all of its own.
     """
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    return df.coalesce(min(1 << 30, max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
 
 
 def kept(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
