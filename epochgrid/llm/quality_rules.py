@@ -132,4 +132,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _repeats_sql(size: int) -> str:
+    """rep_N: words and characters of each text that lie in windows of N words found twice or more."""
+    return f"""
+win_{size} AS (
+  SELECT row, pos, count(*) OVER (PARTITION BY row, key) AS n
+  FROM (SELECT row, pos, array_to_string(words[pos + 1 : pos + {size}], ' ') AS key FROM (SELECT row, words, unnest(range(len(words) - {size - 1})) AS pos FROM split WHERE len(words) >= {size}))
+), rep_{size} AS (
+  SELECT c.row, count(*) AS words, sum(length(w.word)) AS chars
+  FROM (SELECT DISTINCT row, unnest(range(pos, pos + {size})) AS pos FROM win_{size} WHERE n > 1) c JOIN w ON w.row = c.row AND w.pos = c.pos GROUP BY c.row
+)"""
+
+
+_BASE = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
+ORACLE_SQL = {
+    "op10_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+w AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
+n AS (SELECT row, count(*) AS n_words, sum(length(word)) AS chars FROM w GROUP BY row),
+lines AS (SELECT row, line, row_number() OVER (PARTITION BY row, line ORDER BY pos) AS nth FROM (SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+again AS (SELECT row, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM lines WHERE nth > 1 GROUP BY row),
+{",".join(_repeats_sql(n) for n in _SIZES)},
+m AS (
+  SELECT d.doc_id, CAST(coalesce(n.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n.chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(again.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep_3.words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(again.chars, 0) AS DOUBLE) / greatest(1, coalesce(n.chars, 0)) AS line_coverage,
+    {", ".join(f"CAST(coalesce(rep_{k}.chars, 0) AS DOUBLE) / greatest(1, coalesce(n.chars, 0)) AS coverage_{k}, coalesce(rep_{k}.chars, 0) <= CAST({most} AS DOUBLE) * greatest(1, coalesce(n.chars, 0)) AS ok_{k}" for k, most in MAX_COVERAGE.items())},
+    coalesce(again.chars, 0) <= CAST({MAX_LINE_COVERAGE} AS DOUBLE) * greatest(1, coalesce(n.chars, 0)) AS ok_lines
+  FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN again ON again.row = d.row {" ".join(f"LEFT JOIN rep_{k} ON rep_{k}.row = d.row" for k in _SIZES)}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE} AS base_failed, NOT ({_BASE}) AND ok_lines AND {" AND ".join(f"ok_{k}" for k in MAX_COVERAGE)} AS kept, line_coverage, {", ".join(f"coverage_{k}" for k in MAX_COVERAGE)}
+FROM m"""
+}
