@@ -269,9 +269,11 @@ def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "do
     linked = components(found.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v")), classes)
     linked = linked.select(F.col("node.a").alias("_a"), F.col("node.b").alias("_b"), "root")
     own = classes.select("_a", "_b", "first").join(linked.hint("shuffle_merge"), ["_a", "_b"], "left")
-    low = own.where("root is not null").groupBy("root").agg(F.min("first").alias("low"))
-    own = own.join(low.hint("shuffle_merge"), "root", "left")
-    own = own.select("_a", "_b", F.coalesce("root", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("_component"))
+    # Classes without a link have no root, and take no part in the join by root.
+    linked, single = own.where("root is not null"), own.where("root is null")
+    low = linked.groupBy("root").agg(F.min("first").alias("low"))
+    linked = linked.join(low.hint("shuffle_merge"), "root").select("_a", "_b", F.col("root").alias("_root"), F.col("low").alias("_component"))
+    own = linked.unionByName(single.select("_a", "_b", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("_root"), F.col("first").alias("_component")))
     names = ["doc_id", "_n", "_a", "_b", "_root", "_component"]
     some = rows.where("_n > 0").select(*names[:4]).join(own.hint("shuffle_merge"), ["_a", "_b"]).select(*names)
     return gathered(some, source).unionByName(rows.where("_n = 0").select(*names[:4], F.lit(None).cast(own.schema["_root"].dataType).alias("_root"), F.col("doc_id").alias("_component")))
@@ -297,4 +299,17 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: Compares all pairs that share a shingle: for small tables.
+ORACLE_SQL = {
+    "op8_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT row, array_to_string(words[pos + 1 : pos + 4], ' ') AS shingle
+  FROM (SELECT row, words, unnest(range(greatest(len(words) - 3, CASE WHEN len(words) > 0 THEN 1 ELSE 0 END))) AS pos FROM d)
+), n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+shared AS (SELECT a.row AS a, b.row AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.row <> b.row GROUP BY ALL),
+edges AS (SELECT p.a, p.b FROM shared p JOIN n x ON x.row = p.a JOIN n y ON y.row = p.b WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+reach AS (SELECT row AS a, row AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+c AS (SELECT r.a AS row, min(d.doc_id) AS component_id FROM reach r JOIN d ON d.row = r.b GROUP BY r.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(d.doc_id = c.component_id, false) AS kept FROM d JOIN c ON c.row = d.row LEFT JOIN n ON n.row = d.row"""
+}
