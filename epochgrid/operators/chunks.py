@@ -60,6 +60,34 @@ def plan_irap_chunks(samples: DataFrame, target_ms: int, clip: str = "clip_id")
     return _ranges(per_clip.select(clip, "n", _greedy(F.col("c"), F.col("first"), target_ms).alias("cuts")), clip)
 
 
+def plan_overlapping_chunks(samples: DataFrame, target_ms: int, clip: str = "clip_id") -> DataFrame:
+    """clip, chunk_id, head, tail_lo, tail_hi, pts_lo, pts_hi: chunks that overlap in decoding but not in presentation.
+
+    A chunk decodes its random access picture and then, behind its own leading run, all up to and including the next
+    chunk's random access picture and leading run, which presents before that picture. It owns the times from its own
+    picture to the next chunk's.
+    """
+    after = Window.partitionBy(clip).orderBy("dec_idx").rowsBetween(1, Window.unboundedFollowing)
+    behind = samples.withColumn("behind", F.min(F.when(~F.col("is_rasl"), F.col("dec_idx"))).over(after)).select(clip, F.col("dec_idx").alias("head"), F.col("pts").alias("pts_lo"), "behind")
+    starts = plan_irap_chunks(samples, target_ms, clip).select(clip, "chunk_id", F.col("dec_lo").alias("head"), "dec_hi")
+    n = Window.partitionBy(clip)
+    met = starts.withColumn("n", F.max("dec_hi").over(n)).join(behind, [clip, "head"])
+    w = Window.partitionBy(clip).orderBy("chunk_id")
+    tail_lo = F.coalesce("behind", "n")
+    met = met.withColumns({"tail_lo": tail_lo, "pts_hi": F.lead("pts_lo").over(w), "tail_hi": F.lead(tail_lo).over(w)})
+    return met.select(clip, "chunk_id", "head", "tail_lo", F.greatest("tail_lo", F.coalesce("tail_hi", "n")).alias("tail_hi"), "pts_lo", "pts_hi")
+
+
+def unowned(samples: DataFrame, plan: DataFrame, clip: str = "clip_id") -> DataFrame:
+    """Pictures that the chunk which owns their time does not decode; none if the plan holds. One window, no range join."""
+    chunk = plan.select(clip, F.col("pts_lo").alias("pts"), F.lit(0).alias("kind"), F.struct("chunk_id", "head", "tail_lo", "tail_hi").alias("c"))
+    both = samples.select(clip, "pts", F.lit(1).alias("kind"), "dec_idx").unionByName(chunk, allowMissingColumns=True)
+    w = Window.partitionBy(clip).orderBy("pts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("c", F.last("c", ignorenulls=True).over(w)).where("kind = 1")
+    decoded = (F.col("dec_idx") == F.col("c.head")) | ((F.col("dec_idx") >= F.col("c.tail_lo")) & (F.col("dec_idx") < F.col("c.tail_hi")))
+    return met.where(~F.coalesce(decoded, F.lit(False))).select(clip, "dec_idx", "pts")
+
+
 def leading_runs(samples: DataFrame, clip: str = "clip_id") -> DataFrame:
     """Adds run_of: for a leading picture in the unbroken run after a random access picture, that picture's position."""
     w = Window.partitionBy(clip).orderBy("dec_idx").rowsBetween(Window.unboundedPreceding, 0)

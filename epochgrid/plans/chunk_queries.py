@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, selection, skip
+from ..operators import chunks, planning, selection, skip
 from .registry import HOUR, TRACK_SQL, gridded, query, track
 
 TARGET = 2 * 24 * HOUR
@@ -162,3 +162,42 @@ def planning_budget(spark, sf_dir):
     return out.select("clip_id", "samples", (F.col("samples") * chunks.SAMPLE_BYTES).alias("bytes"), (F.col("samples") <= chunks.MAX_SAMPLES).alias("fits"))
 
 
+
+
+_OVER = """
+others AS (SELECT clip_id, dec_idx FROM track WHERE NOT disposable),
+behind AS (SELECT t.clip_id, t.dec_idx, t.pts, (SELECT min(o.dec_idx) FROM others o WHERE o.clip_id = t.clip_id AND o.dec_idx > t.dec_idx) AS behind FROM track t),
+over AS (
+  SELECT p.clip_id, p.chunk_id, p.dec_lo AS head, coalesce(b.behind, s.n) AS tail_lo, greatest(coalesce(b.behind, s.n), coalesce(lead(coalesce(b.behind, s.n)) OVER w, s.n)) AS tail_hi, b.pts AS pts_lo, lead(b.pts) OVER w AS pts_hi
+  FROM plan p JOIN behind b ON b.clip_id = p.clip_id AND b.dec_idx = p.dec_lo JOIN (SELECT clip_id, count(*) AS n FROM track GROUP BY ALL) s ON s.clip_id = p.clip_id
+  WINDOW w AS (PARTITION BY p.clip_id ORDER BY p.chunk_id)
+)"""
+_IRAP_PLAN = _greedy_sql("SELECT clip_id, dec_idx AS at, pts AS value FROM track WHERE is_sync AND dec_idx > 0", "SELECT clip_id, pts AS value FROM track WHERE dec_idx = 0", TARGET)
+
+
+@query(f"WITH RECURSIVE {TRACK_SQL}, plan AS (SELECT * FROM (WITH RECURSIVE {_IRAP_PLAN})), {_OVER} SELECT * FROM over")
+def overlapping_chunks(spark, sf_dir):
+    """Views are leading pictures: chunks decode beyond the next start, and own times up to it."""
+    return chunks.plan_overlapping_chunks(_irap(track(spark, sf_dir)), TARGET)
+
+
+@query(f"""
+WITH RECURSIVE {TRACK_SQL}, plan AS (SELECT * FROM (WITH RECURSIVE {_IRAP_PLAN})), {_OVER}
+SELECT t.clip_id, t.dec_idx, t.pts FROM track t LEFT JOIN over o ON o.clip_id = t.clip_id AND t.pts >= o.pts_lo AND (o.pts_hi IS NULL OR t.pts < o.pts_hi)
+WHERE NOT coalesce(t.dec_idx = o.head OR t.dec_idx >= o.tail_lo AND t.dec_idx < o.tail_hi, false)""")
+def unowned_pictures(spark, sf_dir):
+    """Here some pictures are not decodable by their owner, since views are taken for leading pictures anywhere."""
+    samples = _irap(track(spark, sf_dir))
+    return chunks.unowned(samples, chunks.plan_overlapping_chunks(samples, TARGET))
+
+
+_REASON = " ".join(f"WHEN {c} THEN '{r}'" for c, r in planning.SINGLE_REASONS.items() if c.split()[0] in ("workers", "samples", "presented", "duplicates", "chunks"))
+
+
+@query(f"""
+WITH {TRACK_SQL}, c AS (SELECT clip_id, clip_id % 5 AS workers, count(*) * 2500 AS samples, count(*) FILTER (event_type = 'click') - 10 AS presented, (clip_id % 4) // 3 AS duplicates, count(*) FILTER (is_sync) % 3 AS chunks FROM track GROUP BY clip_id)
+SELECT clip_id, CASE {_REASON} ELSE 'chunked' END AS plan_reason FROM c""")
+def plan_reason(spark, sf_dir):
+    c = track(spark, sf_dir).groupBy("clip_id").agg((F.count("*") * 2500).alias("samples"), (F.count_if(F.col("event_type") == "click") - 10).alias("presented"), (F.count_if("is_sync") % 3).alias("chunks"))
+    c = c.withColumns({"workers": F.col("clip_id") % 5, "duplicates": F.floor((F.col("clip_id") % 4) / 3)})
+    return c.select("clip_id", planning.plan_reason({"workers", "samples", "presented", "duplicates", "chunks"}).alias("plan_reason"))

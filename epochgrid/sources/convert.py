@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions import kernels, nal
+from ..functions import kernels, nal, sps
 from ..spec import IngestError, IngestSpec
 from . import codecs, mp4, wav
 
@@ -42,6 +42,8 @@ def wav_sound(data: bytes, spec: IngestSpec) -> Sound:
 
 def mp4_sound(data: bytes, track: mp4.Track, movie_scale: int, spec: IngestSpec) -> Sound:
     skip, delay, duration = mp4.timeline(track, movie_scale)
+    if track.codec == "mp4a" and track.config:
+        _, track.rate, track.channels = mp4.audio_config(track.config)
     units = mp4.samples(track, len(data))
     if any(u.dts != sum_ or u.cts != u.dts for u, sum_ in zip(units, np.cumsum([0] + [u.duration for u in units[:-1]]).tolist(), strict=True)):
         raise IngestError("audio units are not contiguous")
@@ -85,7 +87,7 @@ def choose(times: list[int], window_ms: int, total: int) -> list[tuple[int, int,
 
 def needed(units: list[tuple[mp4.Sample, int]], chosen: set[int], track: mp4.Track, data: bytes, skip_nonref: bool) -> list[tuple[mp4.Sample, int]]:
     """Units without those that nothing refers to and no epoch needs."""
-    if not skip_nonref or not track.config:
+    if not skip_nonref:
         return units
     raw = lambda u: data[u.offset : u.offset + u.size]
     if track.codec == "avc1":
@@ -123,8 +125,7 @@ def epochs(name: str, data: bytes, spec: IngestSpec) -> tuple[dict, Iterator[dic
         raise IngestError("no epochs produced")
     matrix = "none"
     if pictures:
-        colour = pictures.track.colour
-        bt709, full = bool(colour and colour[1] == 1), bool(colour and colour[2])
+        bt709, full = colours(pictures.track)
         matrix = nal.colour_name(bt709, full)
     about = {"has_audio": sound is not None, "has_video": pictures is not None, "matrix": matrix, "epochs": total}
 
@@ -143,6 +144,37 @@ def epochs(name: str, data: bytes, spec: IngestSpec) -> tuple[dict, Iterator[dic
     return about, rows()
 
 
+def parameter_sets(track: mp4.Track) -> tuple[int, set[bytes], list[sps.Sps]]:
+    """Prefix length, the declared sets, and the parsed sequence sets."""
+    try:
+        if track.codec == "avc1":
+            prefix, sequence, picture = nal.avc_record(track.config)
+            return prefix, {*sequence, *picture}, [sps.avc(u) for u in sequence]
+        prefix, raw = nal.hevc_record(track.config)
+        units = [u for u in raw.split(nal.START_CODE) if u]
+        return prefix, set(units), [sps.hevc(u) for u in units if u[0] >> 1 & 63 == 33]
+    except ValueError as e:
+        raise IngestError(f"decoder configuration is malformed: {e}") from None
+
+
+def colours(track: mp4.Track) -> tuple[bool, bool]:
+    """(BT.709, full range), after all checks of the track's parameter sets."""
+    _, _, sets = parameter_sets(track)
+    return sps.colour(sets, track.width, track.height, track.colour, track.codec != "avc1")
+
+
+def guard_sets(track: mp4.Track, units: list[tuple[mp4.Sample, int]], data: bytes) -> None:
+    """Parameter sets in the stream must be those that were declared."""
+    prefix, declared, _ = parameter_sets(track)
+    kinds = (7, 8) if track.codec == "avc1" else (32, 33, 34)
+    for s, _ in units:
+        for u in nal.units(data[s.offset : s.offset + s.size], prefix):
+            if u is None:
+                raise IngestError("malformed access unit")
+            if (u[0] & 31 if track.codec == "avc1" else u[0] >> 1 & 63) in kinds and u not in declared:
+                raise IngestError("parameter sets change within the video")
+
+
 def video_rows(pictures: Pictures, data: bytes, spec: IngestSpec, total: int, bt709: bool, full: bool) -> Iterator[tuple[int, np.ndarray]]:
     """Time and tensor for each epoch: a chosen picture is converted once, however many epochs it serves."""
     times = sorted(t for _, t in pictures.units if 0 <= t < pictures.duration_ms)
@@ -151,6 +183,7 @@ def video_rows(pictures: Pictures, data: bytes, spec: IngestSpec, total: int, bt
     chosen = choose(times, spec.window_ms, total)
     wanted = {t for t, _, _ in chosen}
     units = needed(pictures.units, wanted, pictures.track, data, spec.skip_nonref)
+    guard_sets(pictures.track, units, data)
     spans = iter(chosen)
     span = next(spans)
     for pts, y, u, v, width, height in codecs.decoder(pictures.track.codec)(pictures.track.config, [(s, t, data[s.offset : s.offset + s.size]) for s, t in units]):

@@ -119,6 +119,48 @@ def _entry(data: bytes, x: int, y: int, track: Track) -> None:
         return
 
 
+def audio_config(esds: bytes) -> tuple[int, int, int]:
+    """Object type, rate and channels of an esds box; only plain AAC-LC with up to six channels is accepted."""
+    at, config = 4, None
+    while at + 2 <= len(esds):
+        tag, at, size = esds[at], at + 1, 0
+        for _ in range(4):
+            if at >= len(esds):
+                raise IngestError("audio configuration is cut off")
+            byte, at = esds[at], at + 1
+            size = size << 7 | byte & 127
+            if not byte & 128:
+                break
+        if tag == 3:
+            flags = esds[at + 2] if at + 2 < len(esds) else 0
+            at += 3 + (2 if flags & 128 else 0) + (2 if flags & 32 else 0)
+        elif tag == 4:
+            at += 13
+        elif tag == 5:
+            config = esds[at : at + size]
+            break
+        else:
+            at += size
+    if config is None or len(config) < 2:
+        raise IngestError("audio configuration is missing")
+    bits = int.from_bytes(config[:8].ljust(8, b"\0"), "big")
+    take = lambda start, n: bits >> (64 - start - n) & ((1 << n) - 1)
+    kind, index, place = take(0, 5), take(5, 4), 9
+    rates = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+    if index == 15:
+        rate, place = take(9, 24), 33
+    elif index < len(rates):
+        rate = rates[index]
+    else:
+        raise IngestError("audio rate is not known")
+    channels = take(place, 4)
+    if kind != 2:
+        raise IngestError(f"audio object type {kind} is not AAC-LC")
+    if not 1 <= channels <= 6:
+        raise IngestError(f"{channels} audio channels are not supported")
+    return kind, rate, channels
+
+
 def check(tracks: list[Track]) -> tuple[Track | None, Track | None]:
     """The audio and the video track."""
     audio, video = ([t for t in tracks if t.kind == k] for k in ("audio", "video"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochgrid import cli
-from epochgrid.functions import kernels, nal
+from epochgrid.functions import kernels, nal, sps
 from epochgrid.sources import artifact, codecs, convert, mp4, wav
 from epochgrid.sources.datasource import EpochSource
 from epochgrid.sources.ingest import epoch_table, ingest, ingest_many, read_files, sample_table
@@ -156,9 +156,93 @@ def u32(*values):
     return b"".join((v & 0xFFFFFFFF).to_bytes(4, "big") for v in values)
 
 
+class Writer:
+    """Bits of a parameter set."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def u(self, *pairs):
+        for n, v in pairs:
+            self.bits += f"{v:0{n}b}" if n else ""
+        return self
+
+    def ue(self, *values):
+        for v in values:
+            code = f"{v + 1:b}"
+            self.bits += "0" * (len(code) - 1) + code
+        return self
+
+    def done(self, head):
+        bits = self.bits + "1"
+        bits += "0" * (-len(bits) % 8)
+        raw = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+        out = bytearray()
+        for b in raw:
+            if out[-2:] == b"\0\0" and b <= 3:
+                out.append(3)
+            out.append(b)
+        return head + bytes(out)
+
+
+def avc_set(width=8, height=8, depth=0, progressive=1, matrix=None, full=0):
+    w = Writer().u((8, 100), (8, 0), (8, 30)).ue(0, 1, depth, depth).u((1, 0), (1, 0)).ue(0, 2, 1).u((1, 0)).ue(-(-width // 16) - 1, -(-height // (16 if progressive else 32)) - 1).u((1, progressive))
+    if not progressive:
+        w.u((1, 0))
+    w.u((1, 0), (1, 1)).ue(0, (-width % 16) // 2, 0, (-height % 16) // 2)
+    w.u((1, matrix is not None))
+    if matrix is not None:
+        w.u((1, 0), (1, 0), (1, 1), (3, 5), (1, full), (1, 1), (8, 1), (8, 1), (8, matrix))
+    return w.done(b"\x67")
+
+
+def hevc_set(width=64, height=36, depth=0, profile=1, matrix=1, full=1):
+    w = Writer().u((4, 0), (3, 0), (1, 1), (3, 0), (5, profile), (32, 1 << (31 - profile)), (1, 1), (1, 0), (46, 0), (8, 93)).ue(0, 1, -(-width // 8) * 8, -(-height // 8) * 8)
+    w.u((1, 1)).ue(0, (-width % 8) // 2, 0, (-height % 8) // 2).ue(depth, depth, 4).u((1, 1)).ue(4, 0, 0, 0, 1, 0, 3, 0, 0).u((1, 0), (2, 0), (1, 0)).ue(2)
+    w.ue(1, 0).ue(0).u((1, 1)).u((1, 1)).u((1, 0)).ue(0).u((1, 1), (1, 0), (1, 0))
+    w.u((1, 0), (2, 0), (1, 1), (1, 1), (8, 1), (1, 0), (1, 1), (3, 5), (1, full), (1, 1), (8, 1), (8, 1), (8, matrix))
+    return w.done(b"\x42\x01")
+
+
+def test_parameter_sets():
+    s = sps.avc(avc_set(1920, 1080, matrix=1, full=1))
+    assert (s.profile, s.width, s.height, s.matrix, s.transfer, s.full) == (100, 1920, 1080, 1, 1, True)
+    assert sps.colour([s], 1920, 1080, None, False) == (True, True)
+    assert sps.colour([sps.avc(avc_set())], 8, 8, (6, 6, False), False) == (False, False)
+    assert sps.colour([sps.avc(avc_set())], 8, 8, None, False) == (False, False)
+    h = sps.hevc(hevc_set())
+    assert (h.width, h.height, h.matrix, h.full, h.main) == (64, 36, 1, True, True) and sps.colour([h], 64, 36, None, True) == (True, True)
+    for bad, size, box in ((avc_set(depth=2), (8, 8), None), (avc_set(progressive=0, height=32), (8, 32), None), (avc_set(), (8, 16), None), (avc_set(matrix=9), (8, 8), None), (avc_set(matrix=1), (8, 8), (1, 6, False)), (avc_set(8192, 8), (8192, 8), None), (avc_set(), (8, 8), (16, 2, False))):
+        with pytest.raises(IngestError):
+            sps.colour([sps.avc(bad)], *size, box, False)
+    for bad in (hevc_set(profile=2), hevc_set(depth=2), hevc_set(matrix=9)):
+        with pytest.raises(IngestError):
+            sps.colour([sps.hevc(bad)], 64, 36, None, True)
+    with pytest.raises(IngestError):
+        sps.colour([], 8, 8, None, False)
+    with pytest.raises(IngestError):
+        sps.avc(avc_set()[:5])
+
+
+def test_audio_config():
+    esds = lambda config: bytes(4) + b"\x03\x19\0\0\0\x04\x11" + bytes(13) + b"\x05" + bytes([len(config)]) + config
+    assert mp4.audio_config(esds(b"\x12\x10")) == (2, 44100, 2) and mp4.audio_config(esds(b"\x14\x30")) == (2, 16000, 6)
+    for bad in (b"\x2a\x10", b"\x12\x38", b"\x12"):
+        with pytest.raises(IngestError):
+            mp4.audio_config(esds(bad))
+
+
+def test_digest(tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav.write(tone(440, 16000, 1.1), 16000))
+    ingest(str(tmp_path / "a.wav"), str(tmp_path / "1.arrow"), batch_epochs=1)
+    ingest(str(tmp_path / "a.wav"), str(tmp_path / "2.arrow"))
+    assert artifact.digest(str(tmp_path / "1.arrow")) == artifact.digest(str(tmp_path / "2.arrow")) and artifact.digest(str(tmp_path / "1.arrow"))["rows"] == 3
+
+
 def movie(units, shifts, sync, step=1, scale=30, edits=(), codec=b"avc1", extra=()):
     payload = b"".join(units)
-    config = box(b"avcC", b"\1\x42\0\x1e\xff\xe1\0\2ab\1\0\3cde")
+    sets = avc_set()
+    config = box(b"avcC", b"\1\x64\0\x1e\xff\xe1" + len(sets).to_bytes(2, "big") + sets + b"\1\0\3\x68de")
     entry = box(codec, bytes(24), (8).to_bytes(2, "big"), (8).to_bytes(2, "big"), bytes(50), config)
 
     def tracks(at):
@@ -239,6 +323,16 @@ def test_video_from_end_to_end(tmp_path, skip_nonref):
         assert luma == [100 + times.index(t) for t in want]
 
 
+def test_changed_sets_are_refused():
+    codecs.register("avc1", fake_decoder)
+    good = clip()
+    about, rows = convert.epochs("a.mp4", good, IngestSpec(resolution=32))
+    assert about["matrix"] == "BT.601 limited" and len(list(rows)) == 1
+    other = movie([unit(b"\x67changed", b"\x65\x80")] * 2, [0, 0], [0])
+    with pytest.raises(IngestError, match="change"):
+        list(convert.epochs("a.mp4", other, IngestSpec(resolution=32))[1])
+
+
 def test_sample_table_in_spark(spark, tmp_path):
     (tmp_path / "a.mp4").write_bytes(clip())
     rows = sample_table(read_files(spark, str(tmp_path / "a.mp4"))).orderBy("dec_idx").collect()
