@@ -179,7 +179,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
             x[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
             yield _row(TaskContext.get().partitionId(), Tree.build(np.concatenate(ids), x))
 
-    trees = kept(rows.repartition(shards).mapInArrow(build, _SHARD_SCHEMA), "shards", vectors)
+    # One partition is one shard, and its number the shard's: these must not be put together.
+    trees = kept(rows.repartition(shards).mapInArrow(build, _SHARD_SCHEMA), "shards")
     found = "block long, place long, query_id long, vec_id long, score long"
 
     def answers(block, places, query_ids, hits):

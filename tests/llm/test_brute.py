@@ -96,6 +96,17 @@ def test_search_is_exact(spark, kind):
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_more_shards_than_tasks(spark):
+    """Shards stay apart when there are more of them than an input of this size has tasks."""
+    r = np.random.default_rng(8)
+    x = np.floor(64 * r.normal(size=(300, 4))) / 64
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(q.query_id, q.rank): q.score for q in topk_search.top_k(df, k=2, shard=5).collect()}
+    for q in range(0, 300, 20):
+        scores = sorted((int(64 * 64 * (x[q] @ x[i])) for i in range(300) if i != q), reverse=True)
+        assert [got[(q, 1)], got[(q, 2)]] == scores[:2]
+
+
 def test_boxes_are_tight_and_prune():
     r = np.random.default_rng(5)
     x = np.floor(r.normal(size=(8, 16))[r.integers(0, 8, 4000)] * 640 + r.normal(size=(4000, 16)) * 8)
