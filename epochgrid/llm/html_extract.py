@@ -5,8 +5,8 @@
 2. Spark counts the hashes per host, with partial sums before the shuffle. A subtree is a site template if it is on
    ``MIN_PAGES`` pages and on ``MIN_SHARE`` of the host's pages.
 3. Pages are parsed again with the hashes of their templates: those subtrees go, and so do elements that are never
-   article text (by tag, role, or words of class and id). What is left inside article or main elements is the text, or
-   all that is left if a page has none of these.
+   article text (by tag, role, or words of class and id; layout elements around an article stay). What is left inside
+   article or main elements is the text, or all that is left if a page has none of these.
 
 Plain text blocks inside an article (paragraphs, headings, list items and so on) are never taken for a template, since
 articles of a host may share passages; other elements inside an article can be.
@@ -54,45 +54,70 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 _WALLS = frozenset("article main section div body html td th table ul ol dl aside nav header footer form blockquote".split())
-#: Words in class, id or role that name what is not an article's text.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsbygoogle|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up"
-    r"|login|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|aside|footer|foot|masthead|topbar|toolbar|site-header|page-header|header|comments?|commentlist|comment-list|disqus|replies|respond|reactions"
-    r"|share|sharing|social|related|recommended|widget|pagination|pager|skip-link|search|searchform|complementary|contentinfo|toc)(?=$|[\s_-])",
+#: What may stand within a line, and doesn't end it.
+WITHIN = INLINE | frozenset("script style template noscript iframe object embed svg math canvas audio video map button select textarea input datalist".split())
+#: Elements that may wrap a whole page.
+LAYOUT = frozenset("aside form header footer menu".split())
+#: Words in class, id or role that name what is not an article's text; those of the second kind may name a layout.
+STRONG = re.compile(
+    r"(?:^|[_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsbygoogle|sponsor(?:ed)?|comments?|commentlist|disqus|replies|respond|reactions|cookies?|consent|gdpr|newsletter|navbar|nav|breadcrumbs?|menubar|pagination|pager|skip-link)(?=$|[_-])",
     re.IGNORECASE,
 )
+WEAK = re.compile(
+    r"(?:^|[_-])(?:promo(?:tion)?|banner|notices?|alert|popup|modal|overlay|subscribe|subscription|signup|sign-up|login|navigation|menu|sidebar|side-bar|aside|footer|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|search|searchform|complementary|contentinfo|toc)(?=$|[_-])",
+    re.IGNORECASE,
+)
+HEADER = re.compile(r"(?:^|[_-])(?:header|head)(?=$|[_-])", re.IGNORECASE)
+NOT_A_NAME = re.compile(r"(?:has|no|with|without|is)-", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "noise", "inside")
+    """noise: 0 none, 1 unless an article lies inside, 2 always. inside: in an article. holds: an article lies inside."""
+
+    __slots__ = ("tag", "kids", "parent", "noise", "inside", "holds", "main")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool, inside: bool) -> None:
-        self.tag, self.kids, self.parent, self.noise, self.inside = tag, [], parent, noise, inside
+    def __init__(self, tag: str, parent: Node | None, noise: int, inside: bool, main: bool) -> None:
+        self.tag, self.kids, self.parent, self.noise, self.inside, self.holds, self.main = tag, [], parent, noise, inside, False, main
+
+    def dropped(self) -> bool:
+        return self.noise == 2 or (self.noise == 1 and not self.holds)
 
 
 @lru_cache(maxsize=4096)
-def _noise(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is never article text. inside: it lies in an article, whose own header is kept."""
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """How far an element is noise, and whether it is an article. An article's own header is kept."""
+    main = tag in ("article", "main")
+    noise = 0
     if tag in NEVER:
-        return True
-    if not inside and tag == "header":
-        return True
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            name = m[1].lower()
-            value = m[2] or m[3] or m[4] or ""
-            if name == "hidden" or (name == "style" and HIDDEN.search(value)) or (name == "aria-hidden" and value.lower() == "true"):
-                return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and NOISE.search(value):
-                return True
-    return False
+        noise = 1 if tag in LAYOUT else 2
+    elif tag == "header" and not inside:
+        noise = 1
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        value = m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "style" and HIDDEN.search(value)) or (name == "aria-hidden" and value.lower() == "true"):
+            noise = 2
+        elif name in ("class", "id", "role") and tag not in ("html", "body"):
+            if name == "role" and value.lower() in ("main", "article"):
+                main = True
+                continue
+            for word in value.split():
+                if NOT_A_NAME.match(word):
+                    continue
+                if STRONG.search(word):
+                    noise = 2
+                elif not main and (WEAK.search(word) or (not inside and HEADER.search(word))):
+                    noise = max(noise, 1)
+        elif name == "itemprop" and value == "articleBody":
+            main = True
+    return noise, main and noise < 2
 
 
 def parse(source: str) -> Node:
-    root = Node("#root", None, False, False)
+    root = Node("#root", None, 0, False, False)
     at, node = 0, root
     n = len(source)
     while at < n:
@@ -135,8 +160,13 @@ def parse(source: str) -> Node:
             if found is not None:
                 node = found.parent
         attributes = m[3] or m[5] or ""
-        inside = node.inside or tag in ("article", "main")
-        new = Node(tag, node, _noise(tag, attributes if len(attributes) < 2000 else attributes[:2000], node.inside), inside)
+        noise, main = _judge(tag, attributes if len(attributes) < 2000 else attributes[:2000], node.inside)
+        new = Node(tag, node, noise, node.inside or main, main)
+        if main:
+            x = node
+            while x is not None and not x.holds and not x.inside:
+                x.holds = True
+                x = x.parent
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
@@ -209,15 +239,15 @@ def extract(root: Node, templates: frozenset[int] = frozenset()) -> str:
             flush()
             where = x[0]
             continue
-        if x.noise or x in dropped:
-            if x.tag not in INLINE:
+        if x.dropped() or x in dropped:
+            if x.tag not in WITHIN:
                 flush()
             continue
         if x.tag == "br":
             parts.append(" ")
             continue
         inner = reversed(x.kids)
-        if x.tag in ("article", "main"):
+        if x.main:
             flush()
             stack.append((where,))
             where = True

@@ -150,6 +150,25 @@ def test_noise():
     assert html_extract.extract(html_extract.parse(PAGE)) == "The <Title>\nOne two three\nFour five\nx\ny"
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<form id=aspnet><div class='page has-sidebar'><div class=sidebar-layout><article><div class=entry-header><h1>T</h1></div><p>x</p></article></div></div></form>", "T\nx"),
+        ("<article><p>x</p></article><section id=comments><article class=comment><p>y</p></article></section>", "x"),
+        ("<div class=no-sidebar><p>x</p><div id=sidebar><p>y</p></div></div>", "x"),
+        ("<div role=main><p>x</p></div><div>y</div>", "x"),
+        ("<div class=header>s</div><p>x<div class=related>z</div>", "x"),
+        ("<p hidden>n<p>x<p style='display: none'>m", "x"),
+        ("<!-- a <p>b</p> --><p>x &lt;b&gt; &#233;&amp;amp; a<b>b</b>c<br>d</P>", "x <b> é&amp; abc d"),
+        ("<article>a<p>b</p>c</article>", "a\nb\nc"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        ("<textarea><p>t</p></textarea><p>x<select><option>o</select> y", "x y"),
+    ],
+)
+def test_forms_of_pages(source, want):
+    assert html_extract.extract(html_extract.parse(source)) == want
+
+
 def test_urls(spark):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{BIG}/pages.parquet").collect()}
     rows = run(spark, "op4_url_filter")
