@@ -3,6 +3,7 @@ apart from the rest."""
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -39,29 +40,41 @@ def source_range(first: int, last: int, rate: int, delay: int = 0) -> tuple[int,
 
 
 def resample(source: np.ndarray, start: int, length: int, rate: int, first: int, last: int, delay: int = 0, total: int | None = None) -> np.ndarray:
-    """Output samples [first, last). source holds the samples from ``start`` on of a signal of ``length`` samples."""
+    """Output samples [first, last). source holds the samples from ``start`` on of a signal of ``length`` samples.
+
+    Positions repeat their phases after a few outputs. Outputs of one phase read windows at a constant distance, so each
+    phase is one product of a strided view with its 129 weights; nothing is gathered.
+    """
     out = np.zeros(last - first, dtype=np.float32)
-    at = np.arange(first, last)
-    some = np.flatnonzero((at >= delay) & (at < (total if total is not None else delay + length * RATE // rate)))
-    if not len(some):
+    stop = total if total is not None else delay + length * RATE // rate
+    low, high = max(first, delay), min(last, stop)
+    if high <= low:
         return out
-    position = (at[some] - delay) * float(rate) / RATE
-    center = np.floor(position).astype(np.int64)
+    n0, count = low - delay, high - low
     if rate == RATE:
-        index = center - start
-        ok = (index >= 0) & (index < len(source))
-        out[some[ok]] = source[index[ok]]
+        a, b = max(n0, start), min(n0 + count, start + len(source), length)
+        if b > a:
+            out[low - first + a - n0 : low - first + b - n0] = source[a - start : b - start]
         return out
-    phase = np.minimum(np.floor((position - center) * PHASES + 0.5).astype(np.int64), PHASES - 1)
-    table = sinc_table(rate)
-    padded = np.concatenate([np.zeros(RADIUS, np.float32), source.astype(np.float32), np.zeros(RADIUS + 1, np.float32)])
-    for a in range(0, len(some), 1 << 14):
-        part = slice(a, a + (1 << 14))
-        index = center[part, None] - start + np.arange(2 * RADIUS + 1)[None, :]
-        values = padded[np.clip(index, 0, len(padded) - 1)]
-        real = center[part, None] + np.arange(-RADIUS, RADIUS + 1)[None, :]
-        values = np.where((real >= 0) & (real < length) & (index >= 0) & (index < len(padded)), values, np.float32(0))
-        out[some[part]] = np.einsum("ij,ij->i", values, table[phase[part]])
+    taps = 2 * RADIUS + 1
+    step = math.gcd(rate, RATE)
+    outputs, inputs = RATE // step, rate // step
+    repeat = -(-taps // inputs)
+    outputs, inputs = outputs * repeat, inputs * repeat
+    begin = n0 * rate // RATE - RADIUS
+    end = (n0 + count - 1) * rate // RATE + RADIUS + 1
+    window = np.zeros(end - begin + inputs, dtype=np.float32)
+    a, b = max(begin, start, 0), min(end, start + len(source), length)
+    if b > a:
+        window[a - begin : b - begin] = source[a - start : b - start]
+    table, size = sinc_table(rate), window.itemsize
+    part = out[low - first : high - first]
+    for k in range(min(outputs, count)):
+        n = n0 + k
+        rows = -(-(count - k) // outputs)
+        phase = min((n * rate % RATE * PHASES * 2 + RATE) // (2 * RATE), PHASES - 1)
+        view = np.lib.stride_tricks.as_strided(window[n * rate // RATE - RADIUS - begin :], (rows, taps), (inputs * size, size))
+        part[k::outputs] = view @ table[phase]
     return out
 
 
@@ -84,19 +97,29 @@ def log_mel(samples: np.ndarray, frames: int) -> np.ndarray:
     x = np.zeros(need, dtype=np.float32)
     x[: min(need, len(samples))] = samples[:need]
     shaped = np.lib.stride_tricks.sliding_window_view(x, FFT)[::HOP][:frames] * HANN
-    power = np.abs(np.fft.rfft(shaped, axis=1)) ** 2
-    return np.log10(power @ mel_filters().T.astype(np.float64) + 1e-10).astype(np.float32)
+    spectrum = np.fft.rfft(shaped, axis=1)
+    power = spectrum.real**2 + spectrum.imag**2
+    return np.log10(power @ mel_filters().T + np.float32(1e-10)).astype(np.float32)
+
+
+def epoch_mels(source: np.ndarray, start: int, length: int, rate: int, epoch: int, epochs: int, frames: int, delay: int, total: int, available: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mel tensors (a row of frames * 64 for each epoch) and valid hops of the epochs from ``epoch`` on.
+
+    Frames that start after the audio are silence. Samples that neighbouring frames share are computed once.
+    """
+    first, stop = epoch * frames * HOP, min(available, total)
+    valid = np.clip(-(-stop // HOP) - np.arange(epoch, epoch + epochs) * frames, 0, frames)
+    out = np.full((epochs * frames, MELS), SILENCE, dtype=np.float32)
+    n = int(valid.sum())
+    if n:
+        x = resample(source, start, length, rate, first, first + (n - 1) * HOP + FFT, delay, stop)
+        out[:n] = log_mel(x, n)
+    return out.reshape(epochs, frames * MELS), valid
 
 
 def epoch_mel(source: np.ndarray, start: int, length: int, rate: int, epoch: int, frames: int, delay: int, total: int, available: int) -> tuple[np.ndarray, int]:
-    """Mel tensor (frames * 64) and valid hops of an epoch; frames that start after the audio are silence."""
-    first = epoch * frames * HOP
-    valid = int(np.clip(-(-min(available, total) // HOP) - epoch * frames, 0, frames))
-    out = np.full((frames, MELS), SILENCE, dtype=np.float32)
-    if valid:
-        x = resample(source, start, length, rate, first, first + (frames - 1) * HOP + FFT, delay, min(available, total))
-        out[:valid] = log_mel(x, frames)[:valid]
-    return out.ravel(), valid
+    mel, valid = epoch_mels(source, start, length, rate, epoch, 1, frames, delay, total, available)
+    return mel[0], int(valid[0])
 
 
 def nearest_index(target: int, source: int) -> np.ndarray:

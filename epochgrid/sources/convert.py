@@ -12,6 +12,10 @@ from ..spec import IngestError, IngestSpec
 from . import codecs, mp4, wav
 
 
+#: Epochs whose audio is computed at once, whatever the size of batches.
+TOGETHER = 16
+
+
 @dataclass
 class Sound:
     """Mono samples at the source's rate, and where they lie on the timeline (in output samples)."""
@@ -134,7 +138,9 @@ def epochs(name: str, data: bytes, spec: IngestSpec) -> tuple[dict, Iterator[dic
         for e in range(total):
             row = {"timestamp_ms": e * spec.window_ms}
             if sound:
-                row["audio_mel_tensor"], row["audio_valid_frames"] = kernels.epoch_mel(sound.mono, 0, sound.length, sound.rate, e, spec.frames, sound.delay, sound.total, sound.available)
+                if e % TOGETHER == 0:
+                    mels, valid = kernels.epoch_mels(sound.mono, 0, sound.length, sound.rate, e, min(TOGETHER, total - e), spec.frames, sound.delay, sound.total, sound.available)
+                row["audio_mel_tensor"], row["audio_valid_frames"] = mels[e % TOGETHER], int(valid[e % TOGETHER])
             else:
                 row["audio_mel_tensor"], row["audio_valid_frames"] = np.full(spec.frames * kernels.MELS, kernels.SILENCE, np.float32), 0
             if frames is not None:
