@@ -435,6 +435,19 @@ def test_cli(wavs, capsys):
     assert cli.main(["-i", str(wavs / "none.wav"), "-o", str(wavs / "n.arrow"), "-q"]) == 1
 
 
+def test_public_names_and_batch(spark, wavs, capsys):
+    import epochgrid
+    from epochgrid import batch
+
+    assert epochgrid.ingest is ingest and epochgrid.load is artifact.load and issubclass(epochgrid.IngestError, RuntimeError) and issubclass(epochgrid.UsageError, ValueError)
+    with pytest.raises(AttributeError):
+        epochgrid.nothing  # noqa: B018
+    assert batch.main(["--out-dir", str(wavs / "o"), "--jobs", "2", str(wavs / "a.wav"), str(wavs / "b.wav")]) == 0
+    assert capsys.readouterr().err.count("3 epochs") == 2
+    assert batch.main(["--out-dir", str(wavs / "o"), str(wavs / "a.wav")]) == 1
+    assert batch.main(["--out-dir", str(wavs / "o"), "--skip-existing", str(wavs / "a.wav")]) == 0
+
+
 def test_many_files(spark, wavs):
     (wavs / "bad.wav").write_bytes(b"RIFFxxxx")
     names = [str(wavs / f"{n}.wav") for n in ("a", "b", "c", "bad")]
