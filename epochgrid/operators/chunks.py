@@ -41,20 +41,26 @@ def _ranges(folded: DataFrame, clip: str) -> DataFrame:
     return out.select(clip, F.col("chunk_id").cast("long"), "dec_lo", F.get("e", F.col("chunk_id") + 1).alias("dec_hi"))
 
 
+def _counted(samples: DataFrame, clip: str) -> DataFrame:
+    return samples.withColumn("_samples", F.count("*").over(Window.partitionBy(clip)))
+
+
 def plan_chunks(samples: DataFrame, target_ms: int, clip: str = "clip_id") -> DataFrame:
     """clip, chunk_id, dec_lo, dec_hi. dec_idx must count from 0 in each clip.
 
-    A cut is made at a clean candidate whose suffix minimum lies target_ms or more after that of the chunk's start.
+    A cut is made at a clean candidate whose suffix minimum lies target_ms or more after that of the chunk's start. A clip
+    of more than MAX_SAMPLES pictures is one chunk, so that what is gathered for a clip is bounded.
     """
-    marked = clean_cuts(samples, clip)
-    candidate = F.when(F.col("clean") & (F.col("dec_idx") > 0), F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("suffix_min").cast("long").alias("value")))
+    marked = _counted(clean_cuts(samples, clip), clip)
+    candidate = F.when(F.col("clean") & (F.col("dec_idx") > 0) & (F.col("_samples") <= MAX_SAMPLES), F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("suffix_min").cast("long").alias("value")))
     per_clip = marked.groupBy(clip).agg(F.array_sort(F.collect_list(candidate)).alias("c"), F.count("*").alias("n"), F.min("pts").alias("first"))
     return _ranges(per_clip.select(clip, "n", _greedy(F.col("c"), F.col("first"), target_ms).alias("cuts")), clip)
 
 
 def plan_irap_chunks(samples: DataFrame, target_ms: int, clip: str = "clip_id") -> DataFrame:
     """The same with random access pictures that are not leading ones, by their own distance in time."""
-    candidate = F.when(F.col("is_irap") & ~F.col("is_rasl") & (F.col("dec_idx") > 0), F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("value")))
+    samples = _counted(samples, clip)
+    candidate = F.when(F.col("is_irap") & ~F.col("is_rasl") & (F.col("dec_idx") > 0) & (F.col("_samples") <= MAX_SAMPLES), F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("value")))
     first = F.min(F.when(F.col("dec_idx") == 0, F.col("pts")))
     per_clip = samples.groupBy(clip).agg(F.array_sort(F.collect_list(candidate)).alias("c"), F.count("*").alias("n"), first.alias("first"))
     return _ranges(per_clip.select(clip, "n", _greedy(F.col("c"), F.col("first"), target_ms).alias("cuts")), clip)
@@ -110,9 +116,11 @@ def reorder_violations(samples: DataFrame, clip: str = "clip_id", depth: int = R
     """clip and n_late: pictures before which ``depth`` or more pictures were decoded that present later.
 
     Only the ``depth`` largest times seen so far matter, so the fold's state is a sorted array of that size; a picture that
-    presents after all of these is never late.
+    presents after all of these is never late. Null for a clip of more than MAX_SAMPLES pictures, which is not gathered.
     """
-    per_clip = samples.groupBy(clip).agg(F.array_sort(F.collect_list(F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("pts")))).alias("s"))
+    picture = F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("pts"))
+    few = F.col("_samples") <= MAX_SAMPLES
+    per_clip = _counted(samples, clip).groupBy(clip).agg(F.when(F.max(few), F.array_sort(F.collect_list(F.when(few, picture)))).alias("s"))
     state = F.struct(F.array().cast("array<bigint>").alias("top"), F.lit(0).cast("long").alias("late"))
 
     def step(s: Column, x: Column) -> Column:
