@@ -2,10 +2,11 @@
 
 For each host the pages that contain a line are counted, once each, and divided by the host's pages. A line on at least
 ``MIN_PAGES`` pages whose share exceeds ``BOILERPLATE_PERCENT`` percent is boilerplate of that host and is dropped from
-all its pages. Lines are compared whole, by their 64-bit hash; lines of spaces only are neither counted nor dropped.
+all its pages. Pages of a host with the same text count as one: copies of a page don't make its lines boilerplate. Lines
+and pages are compared whole, by their 64-bit hash; lines of spaces only are neither counted nor dropped.
 
-Counting shuffles hashes, summed before the shuffle, so that neither a host nor a line that holds a third of all rows
-meets in one task. A host has at most (lines per page) * 100 / ``BOILERPLATE_PERCENT`` boilerplate lines on average;
+Counting shuffles hashes, made distinct and summed before the shuffle, so that neither a host nor a line that holds a
+third of all rows meets in one task. A host has at most (lines per page) * 100 / ``BOILERPLATE_PERCENT`` boilerplate lines on average;
 their table is written, and Spark broadcasts it if its measured size is under the session's threshold, else it splits
 skewed hosts while joining. Texts are never shuffled in the first case, and lines keep their order in both.
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .storage import gathered, kept
 from .text import as_rows
 
-MIN_PAGES = 3
-BOILERPLATE_PERCENT = 10
+MIN_PAGES = 5
+BOILERPLATE_PERCENT = 2
 
 
 def _lines(text: Column) -> Column:
@@ -35,10 +36,11 @@ def _counted(line: Column) -> Column:
 
 def boilerplate(documents: DataFrame, host_col: str = "source", text_col: str = "text", min_pages: int = MIN_PAGES, percent: int = BOILERPLATE_PERCENT) -> DataFrame:
     """_host and _lines: the hashes of the host's boilerplate lines, for hosts that have any."""
-    pages = documents.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(text_col).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pages = documents.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.xxhash64(text).alias("_page"), text.alias("_text"))
+    totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
     hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), _counted), lambda x: F.xxhash64(x)))
-    lines = pages.select("_host", F.explode(hashes).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
+    lines = pages.select("_host", "_page", F.explode(hashes).alias("_line")).distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n"))
     often = lines.where(F.col("_n") >= min_pages).join(totals, "_host").where(F.col("_n") * 100 > F.col("_pages") * percent)
     return often.groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
 
@@ -79,10 +81,10 @@ QUERIES = {"op5_line_dedup": op5_line_dedup}
 ORACLE_SQL = {
     "op5_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, text FROM documents),
-l AS (SELECT row, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
-t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+l AS (SELECT row, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY host),
 b AS (
-  SELECT x.host, x.line FROM (SELECT DISTINCT row, host, line FROM l WHERE trim(line) <> '') x JOIN t ON t.host = x.host
+  SELECT x.host, x.line FROM (SELECT DISTINCT host, text, line FROM l WHERE trim(line) <> '') x JOIN t ON t.host = x.host
   GROUP BY x.host, x.line, t.pages HAVING count(*) >= {MIN_PAGES} AND count(*) * 100 > t.pages * {BOILERPLATE_PERCENT}
 ),
 k AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON b.host = l.host AND b.line = l.line),

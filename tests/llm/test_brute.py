@@ -202,6 +202,12 @@ def test_line_dedup_has_a_native_plan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_copies_of_a_page_count_once(spark):
+    rows = [(i, "copied line\nand another", "s") for i in range(30)] + [(50 + i, f"line {i}\nfooter", "s") for i in range(30)]
+    got = {r.row.doc_id: r.cleaned for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3] == "copied line\nand another" and got[57] == "line 7"
+
+
 def test_lines_of_one_site_only(spark):
     rows = [(i, f"header {s}\nbody {i}\nfooter", s) for i in range(40) for s in [f"s{i % 4}"]] + [(100 + i, f"header s0\nrest {i}", "t") for i in range(2)]
     got = {r.row.doc_id: (r.cleaned, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}

@@ -45,7 +45,7 @@ def test_rules_stage(stages):
 
 def test_lines_stage(stages):
     pages, holds = Counter(), defaultdict(Counter)
-    for _, text, _, source, _ in table(stages[2]):
+    for source, text in {(r[3], r[1]) for r in table(stages[2])}:
         pages[source] += 1
         holds[source].update({line for line in text.split("\n") if line.strip(" ")})
     want = []
