@@ -39,6 +39,8 @@ MISS = 1e-6
 #: MinHash values for verification, and how many are compared at a time.
 CHECKS, BATCH = 256, 32
 CELL, CELL_SHINGLES = 1024, 1 << 21
+#: Edges of the component graph that a task writes.
+EDGES = 200_000
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + CHECKS + 1, dtype=np.uint64))
 _TIMES = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -243,19 +245,20 @@ def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 def components(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node of a pair (columns u, v). Rounds are written."""
     edges = kept(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", source)
-    before = None
+    before, n = None, edges.count()
     while True:
+        tasks = 1 + n // EDGES  # a round's edges are known, and few against the documents
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Now every edge points down: the small star of u takes its lower neighbours.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("shuffle_merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
-        edges = kept(small.distinct(), "edges", source)
+        edges = kept(small.distinct().coalesce(tasks), "edges")
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -276,7 +279,7 @@ def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "do
     own = linked.unionByName(single.select("_a", "_b", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("_root"), F.col("first").alias("_component")))
     names = ["doc_id", "_n", "_a", "_b", "_root", "_component"]
     some = rows.where("_n > 0").select(*names[:4]).join(own.hint("shuffle_merge"), ["_a", "_b"]).select(*names)
-    return gathered(some, source).unionByName(rows.where("_n = 0").select(*names[:4], F.lit(None).cast(own.schema["_root"].dataType).alias("_root"), F.col("doc_id").alias("_component")))
+    return gathered(some.unionByName(rows.where("_n = 0").select(*names[:4], F.lit(None).cast(own.schema["_root"].dataType).alias("_root"), F.col("doc_id").alias("_component"))), source)
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -290,7 +293,7 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     met = rows.where("_n > 0").join(best.hint("shuffle_merge"), key)
     alone = met.where("_rows = 1").select("row")
     several = met.where("_rows > 1").dropDuplicates(["_id", "_a", "_b"]).select("row")
-    return gathered(alone, documents).unionByName(gathered(several, documents)).unionByName(gathered(rows.where("_n = 0").select("row"), documents)).select("row.*")
+    return gathered(alone.unionByName(several).unionByName(rows.where("_n = 0").select("row")), documents).select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

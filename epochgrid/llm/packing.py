@@ -256,7 +256,7 @@ def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None) ->
     names = ["doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens"]
     first = whole.select(*names, (F.col("uid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     second = placed.where(F.col("sequence") >= 0).select(*names, (F.col("sequence") * 4 + 1).alias("sequence_id"), "offset")
-    return gathered(first.unionByName(second), documents).unionByName(gathered(map_batches(laid, columns, out_schema, cut), documents))
+    return gathered(first.unionByName(second).unionByName(map_batches(laid, columns, out_schema, cut)), documents)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,13 @@ TASK_BYTES = 64 << 20
 
 
 def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
-    """df in as many tasks as source needs: one for each TASK_BYTES, at least eight for each core.
+    """df in as many tasks as source needs: one for each TASK_BYTES, at least two for each core.
 
     Small inputs may lie in many tiny partitions; each would become a task, a file and its permissions. Partitions are
     only ever put together, so a large input keeps all of its own.
     """
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(1 << 30, max(8 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+    return df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
 
 
 def kept(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
