@@ -43,3 +43,11 @@ def test_entry(spark):
 
 def test_each_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.catalog.QUERIES if n != "stream_daily"))
+def test_plans_hold_at_scale(spark, sf_dir, name):
+    """No pairwise joins, and no column is read that the query doesn't name."""
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "props" not in plan  # the wide column of events
