@@ -265,9 +265,9 @@ def components(pairs: DataFrame, source: DataFrame) -> DataFrame:
 def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, _n, _a, _b, _component for every row of documents."""
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = kept(read_sets(source, size, True).drop("text"), "sets", source)
+    rows = kept(read_sets(gathered(source, source), size, True).drop("text"), "sets")
     classes = kept(rows.where("_n > 0").groupBy("_a", "_b", "_n", "_bands").agg(F.min("doc_id").alias("first")), "classes", source)
-    texts = read_sets(source.select("text"), size, False).select("_a", "_b", F.col("text").alias("_text"))
+    texts = read_sets(gathered(source.select("text"), source), size, False).select("_a", "_b", F.col("text").alias("_text"))
     found = links(classes, texts, size, percent)
     linked = components(found.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v")), classes)
     linked = linked.select(F.col("node.a").alias("_a"), F.col("node.b").alias("_b"), "root")
@@ -288,12 +288,12 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     # Rows may share the smallest id, or have none: of those one set, and of its rows one.
     best = first.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("s"), F.count("*").alias("_rows"), F.first("_component").alias("_id"))
     best = kept(best.select("_id", F.col("s._a").alias("_sa"), F.col("s._b").alias("_sb"), "_rows"), "first", documents)
-    rows = read_sets(as_rows(documents), size, False)
+    rows = read_sets(gathered(as_rows(documents), documents), size, False)
     key = (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
     met = rows.where("_n > 0").join(best.hint("shuffle_merge"), key)
     alone = met.where("_rows = 1").select("row")
     several = met.where("_rows > 1").dropDuplicates(["_id", "_a", "_b"]).select("row")
-    return gathered(alone.unionByName(several).unionByName(rows.where("_n = 0").select("row")), documents).select("row.*")
+    return gathered(alone.unionByName(several), documents).unionByName(rows.where("_n = 0").select("row")).select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,9 +210,9 @@ def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None) ->
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece."""
     spark = documents.sparkSession
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    made = pieces(documents, window, path or bpe.vocabulary_path())
+    made = pieces(gathered(documents, documents), window, path or bpe.vocabulary_path())
     # The number of a row is fixed from here on, as the rows are written.
-    made = kept(made.withColumn("uid", F.monotonically_increasing_id()), "pieces", documents)
+    made = kept(made.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = made.where(F.col("length") == window)
     rest = made.where(F.col("length") < window).withColumn("block", F.shiftright("uid", 33))
 
@@ -233,7 +233,7 @@ def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None) ->
         ids = pa.array([x if s < 0 else None for x, s in zip(batch.column(5).to_pylist(), sequence, strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[:5], ids, batch.column(6), pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    placed = kept(map_batches(ranked, columns, schema, place), "placed", documents)
+    placed = kept(map_batches(gathered(ranked, documents), columns, schema, place), "placed")
     residual = placed.where(F.col("sequence") < 0).withColumn("block", F.shiftright("uid", 33))
     # One row for each block of rows: the window over all of them sees counts only.
     sums = residual.groupBy("block").agg(F.sum("length").alias("n"))
@@ -256,7 +256,7 @@ def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None) ->
     names = ["doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens"]
     first = whole.select(*names, (F.col("uid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     second = placed.where(F.col("sequence") >= 0).select(*names, (F.col("sequence") * 4 + 1).alias("sequence_id"), "offset")
-    return gathered(first.unionByName(second).unionByName(map_batches(laid, columns, out_schema, cut)), documents)
+    return gathered(first.unionByName(second), documents).unionByName(map_batches(gathered(laid, documents), columns, out_schema, cut))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

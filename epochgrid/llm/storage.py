@@ -26,7 +26,8 @@ def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
     """df in as many tasks as source needs: one for each TASK_BYTES, at least two for each core.
 
     Small inputs may lie in many tiny partitions; each would become a task, a file and its permissions. Partitions are
-    only ever put together, so a large input keeps all of its own.
+    only ever put together, so a large input keeps all of its own. Python stages go behind this, not before: a task
+    that runs several of them, one for each partition, frees their buffers at its end only.
     """
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))

@@ -135,8 +135,18 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
             at, size = i + 1, 0
 
 
+#: Rows of a batch between the JVM and Python. Texts are a few kB each: Spark's own 10,000 rows would be large buffers.
+BATCH_ROWS = 1000
+
+
 def map_batches(df: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
-    """``work(pyarrow.RecordBatch) -> pyarrow.RecordBatch`` (or an iterable of them) over the named columns only."""
+    """``work(pyarrow.RecordBatch) -> pyarrow.RecordBatch`` (or an iterable of them) over the named columns only.
+
+    Lowers the session's rows per Arrow batch to BATCH_ROWS if they are more.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
