@@ -208,7 +208,8 @@ def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)))
     cells = kept(cells.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_a", "_b"), "cells", classes)
     need = cells.select("_a", "_b").distinct()
-    found = texts.join(need.hint("shuffle_merge"), ["_a", "_b"]).groupBy("_a", "_b").agg(F.min("_text").alias("_text"))
+    # One text for each class, chosen before the shuffle too: copies do not meet in one task.
+    found = texts.groupBy("_a", "_b").agg(F.min("_text").alias("_text")).join(need.hint("shuffle_merge"), ["_a", "_b"])
     cell = ["band", "key", "low", "high"]
     dealt = cells.join(found.hint("shuffle_merge"), ["_a", "_b"]).repartition(*cell).sortWithinPartitions(*cell)
 
