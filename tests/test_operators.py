@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epochgrid.functions import timeline as t
 from epochgrid.operators import align, chunks, planning, selection, skip
+from epochgrid.plans import planning_queries
 from epochgrid.sources.convert import choose
 
 
@@ -84,6 +85,17 @@ def test_reorder(spark):
     assert got == {"ok": 0, "late": 1}
 
 
+def test_track_check_sees_all_lines(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()
+    want = {}
+    for r in lines:
+        n = want.setdefault(r.l_orderkey, [0, 0])
+        if r.l_linenumber % 3 < 2:
+            n[r.l_linenumber % 3 == 0] += 1
+    got = {r.clip_id: [r.n_audio, r.n_video] for r in planning_queries.track_check(spark, sf_dir).collect()}
+    assert got == want
+
+
 def test_skip_and_reconcile(spark):
     df = track(spark, {"a": [0, 10, 20, 30]}).withColumn("disposable", F.col("dec_idx").isin(1, 2))
     chosen = spark.createDataFrame([("a", 20)], "clip_id string, pts long")
