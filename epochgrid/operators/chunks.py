@@ -6,6 +6,9 @@ windows that share a sort. A clip's candidates are at most its samples, which ``
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,20 +118,37 @@ def assign_to_chunks(samples: DataFrame, chunks: DataFrame, clip: str = "clip_id
 def reorder_violations(samples: DataFrame, clip: str = "clip_id", depth: int = REORDER) -> DataFrame:
     """clip and n_late: pictures before which ``depth`` or more pictures were decoded that present later.
 
-    Only the ``depth`` largest times seen so far matter, so the fold's state is a sorted array of that size; a picture that
-    presents after all of these is never late. Null for a clip of more than MAX_SAMPLES pictures, which is not gathered.
+    Only the ``depth`` largest times seen so far matter, so the fold's state is a heap of that size; a picture that presents
+    before all of these is late. Rows of a clip are streamed in decode order, whatever their number. A picture without a
+    time is never late.
     """
-    picture = F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("pts"))
-    few = F.col("_samples") <= MAX_SAMPLES
-    per_clip = _counted(samples, clip).groupBy(clip).agg(F.when(F.max(few), F.array_sort(F.collect_list(F.when(few, picture)))).alias("s"))
-    state = F.struct(F.array().cast("array<bigint>").alias("top"), F.lit(0).cast("long").alias("late"))
-
-    def step(s: Column, x: Column) -> Column:
-        late = (F.size(s["top"]) >= depth) & (F.get(s["top"], F.lit(depth - 1)) > x["pts"])
-        top = F.slice(F.reverse(F.array_sort(F.concat(s["top"], F.array(x["pts"])))), 1, depth)
-        return F.struct(F.when(late, s["top"]).otherwise(top).alias("top"), (s["late"] + late.cast("long")).alias("late"))
-
-    return per_clip.select(clip, F.aggregate("s", state, step, lambda s: s["late"]).alias("n_late"))
+    pictures = samples.select(clip, F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("pts"))
+    schema = pictures.select(clip).schema.add("n_late", "long")
+
+    def fold(batches):
+        key, late, top = None, -1, []  # -1: no row yet
+        for batch in batches:
+            keys, counts = [], []
+            for k, pts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if late < 0 or k != key:
+                    if late >= 0:
+                        keys.append(key)
+                        counts.append(late)
+                    key, late, top = k, 0, []
+                if pts is None:
+                    continue
+                if len(top) < depth:
+                    heapq.heappush(top, pts)
+                elif top[0] > pts:
+                    late += 1
+                else:
+                    heapq.heapreplace(top, pts)
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64())], names=schema.names)
+        if late >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([late], pa.int64())], names=schema.names)
+
+    return pictures.repartition(clip).sortWithinPartitions(clip, "at", "pts").mapInArrow(fold, schema)
 
 
 def chunk_window(workers: Column, buffer_bytes: Column, chunk_bytes: Column, chunks: Column) -> tuple[Column, Column]:

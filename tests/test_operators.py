@@ -85,6 +85,15 @@ def test_reorder(spark):
     assert got == {"ok": 0, "late": 1}
 
 
+def test_reorder_of_a_long_clip(spark):
+    n = chunks.MAX_SAMPLES + 1000
+    pts = F.when(F.col("id") % 1000 == 999, F.col("id") - 500).otherwise(F.col("id"))
+    long = spark.range(n).select(F.lit("long").alias("clip_id"), F.col("id").alias("dec_idx"), pts.alias("pts"))
+    short = track(spark, {"short": [*range(1, 71), 0]})
+    got = {r.clip_id: r.n_late for r in chunks.reorder_violations(long.unionByName(short)).collect()}
+    assert got == {"long": n // 1000, "short": 1}
+
+
 def test_track_check_sees_all_lines(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()
     want = {}
