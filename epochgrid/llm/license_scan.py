@@ -1,6 +1,6 @@
 """License scans: MinHash over overlapping text windows retrieves templates, shingle containment verifies them.
 
-Templates are license notices. Their words (letters and digits in lower case) make shingles of ``SHINGLE`` words. Templates
+Templates are license notices: short ones, standard headers and full texts (``license_templates``). Their words (letters and digits in lower case) make shingles of ``SHINGLE`` words. Templates
 are put into classes by length; for each class a text is cut into overlapping windows of ``STRIDES`` strides, so that any
 stretch as long as the longest template of the class lies whole in some window. A window whose MinHash signature shares
 a band with a template is a candidate for it. Bands have one row: an exact notice of s shingles in a window of w shares
@@ -10,7 +10,11 @@ one of ``HASHES`` bands with probability 1 - (1 - s / w) ** HASHES, more than 0.
 A candidate is verified on its full shingles: it matches where at least ``CONTAINED`` of the template's shingles are in the
 window. Neighbouring windows that match a template are one match; its span is from the first to the last shared shingle.
 
-Templates and their bands are a few kB and go to every task; texts are scanned whole, once, without a shuffle.
+A notice may have words that name its license (``PARTS``): a match must hold them unbroken, so that a notice of another
+license or version is none. A notice of at most ``SHORT`` words is also looked for around these words, with one word
+changed, left out or put in elsewhere; its containment is then the share of its words that are left.
+
+Templates and their bands are about 1 MB and go to every task; texts are scanned whole, once, without a shuffle.
 
 Defined results: a null or empty text has no match. Rows are scanned one by one, so ids may be null or repeat. A text
 shorter than a shingle has no match. Columns other than the named ones are not read.
@@ -22,28 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_templates import PARTS, TEMPLATES
 from .storage import gathered
 from .text import Block, blocks, map_batches, mix, span_hashes, window_hashes
 
 SHINGLE, HASHES, CONTAINED, STRIDES = 3, 32, 0.8, 4
+SHORT = 24
 _SEEDS = mix(np.arange(7001, 7001 + HASHES, dtype=np.uint64))
 _TIMES = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _XOR = (_SEEDS >> np.uint64(32)).astype(np.uint32)
 
-#: Notices as they stand in public files.
-TEMPLATES = {
-    "MIT": "Released under the MIT License",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-terms": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD-terms": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "reserved": "All rights reserved",
-}
-
-
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the lower-case words, their byte spans, and the first word of each text."""
     block = Block(texts)
@@ -61,21 +53,68 @@ class Templates:
     def __init__(self, templates: dict[str, str], shingle: int = SHINGLE) -> None:
         self.shingle = shingle
         self.names = list(templates)
-        self.sets = []
-        for text in templates.values():
-            words, _, _, _ = _words([text])
-            self.sets.append(np.unique(window_hashes(words, shingle)) if len(words) >= shingle else np.empty(0, np.uint64))
+        self.sets, lengths = [], []
+        #: Of a notice with words that name its license: the words before, these, and the words behind.
+        self.parts: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        #: Short ones of these by the hash of the naming words' first two.
+        self.heads: dict[int, list[int]] = {}
+        for i, (name, text) in enumerate(templates.items()):
+            words = _words([text])[0]
+            lengths.append(len(words) - shingle + 1)
+            self.sets.append(np.unique(window_hashes(words, shingle)) if lengths[-1] > 0 else np.empty(0, np.uint64))
+            parts = tuple(_words([x])[0].tolist() for x in PARTS.get(name, ()))
+            if parts and sum(parts, []) == words.tolist():
+                self.parts[i] = parts
+                if len(words) <= SHORT:
+                    self.heads.setdefault(int(window_hashes(np.array(parts[1][:2], np.uint64), 2)[0]), []).append(i)
         #: Classes by the power of two that holds a template's shingles: window width in shingles, and members.
         self.classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):
-                self.classes.setdefault(1 << max(2, int(np.ceil(np.log2(len(s))))), []).append(i)
+                self.classes.setdefault(1 << max(2, int(np.ceil(np.log2(lengths[i])))), []).append(i)
+        self.classes = dict(sorted(self.classes.items()))
         self.bands = {}
         for width, members in self.classes.items():
             rows = np.array([[((self.sets[i].astype(np.uint32) ^ _XOR[j]) * _TIMES[j]).min() for j in range(HASHES)] for i in members])
             self.bands[width] = rows
 
 
+def _with_an_edit(have: list[int], want: list[int]) -> tuple[int, int]:
+    """Least edits (2 for more than one) that turn the start of have into want, and the words of have that this takes."""
+    n = len(want)
+    if have[:n] == want:
+        return 0, n
+    i = next(i for i in range(n) if i >= len(have) or have[i] != want[i])
+    for skip, to in ((1, 1), (0, 1), (1, 0)):  # a word changed, left out, put in
+        rest = want[i + to :]
+        if have[i + skip : i + skip + len(rest)] == rest and i + skip <= len(have):
+            return 1, i + skip + len(rest)
+    return 2, 0
+
+
+def _holds(words: list[int], part: list[int]) -> bool:
+    return any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
+
+
+def _named(words: np.ndarray, firsts: np.ndarray, templates: Templates):
+    """Text, template, first and last word, and containment of short notices around the words that name a license."""
+    pairs = window_hashes(words, 2)
+    for p in np.flatnonzero(np.isin(pairs, np.array(list(templates.heads), np.uint64))).tolist():
+        t = int(np.searchsorted(firsts, p, side="right")) - 1
+        lo, hi = int(firsts[t]), int(firsts[t + 1])
+        have = words[max(lo, p - SHORT - 1) : min(hi, p + 2 * SHORT + 1)].tolist()
+        at = p - max(lo, p - SHORT - 1)
+        for i in templates.heads[int(pairs[p])]:
+            before, name, behind = templates.parts[i]
+            if have[at : at + len(name)] != name:
+                continue
+            left, n_left = _with_an_edit(have[:at][::-1], before[::-1])
+            right, n_right = _with_an_edit(have[at + len(name) :], behind)
+            if left + right <= 1:
+                n = len(before) + len(name) + len(behind)
+                yield t, i, p - n_left, p + len(name) + n_right - 1, (n - left - right) / n
+
+
 def collision(shingles: int, width: int) -> float:
     """Least probability that a window around an exact notice shares a band with it."""
     return 1 - (1 - shingles / (width + width // STRIDES)) ** HASHES
@@ -100,8 +139,11 @@ def scan(texts: list[str], templates: Templates, contained: float = CONTAINED) -
     for j in range(HASHES):
         h = (short ^ _XOR[j]) * _TIMES[j]
         h[unreal] = np.uint32(0xFFFFFFFF)
+        low, finer = h, 1
         for width in templates.classes:
-            low = np.minimum.reduceat(h, steps[width])
+            stride = max(1, width // STRIDES)
+            if stride > finer:
+                low, finer = np.minimum.reduceat(low, np.arange(0, len(low), stride // finer)), stride
             window = low.copy()
             for s in range(1, span):
                 window[:-s] = np.minimum(window[:-s], low[s:])
@@ -119,8 +161,10 @@ def scan(texts: list[str], templates: Templates, contained: float = CONTAINED) -
                 for t in np.unique(text_of[a:b][found]).tolist():
                     at = a + np.flatnonzero(found & (text_of[a:b] == t))
                     share = len(np.unique(shingles[at])) / len(need)
-                    if share >= contained:
+                    if share >= contained and (i not in templates.parts or _holds(words[at[0] : at[-1] + k].tolist(), templates.parts[i][1])):
                         hit.setdefault((t, i), []).append((int(starts[at[0]]), int(ends[at[-1] + k - 1]), share))
+    for t, i, first, last, share in _named(words, firsts, templates):
+        hit.setdefault((t, i), []).append((int(starts[first]), int(ends[last]), share))
     for (t, i), spans in hit.items():
         spans.sort()
         joined: list[list] = []

@@ -104,6 +104,21 @@ def test_licenses(spark, documents):
     assert {r.doc_id: r.licenses for r in license_scan.licenses(df).collect()} == {1: ["MIT"], 2: [], 3: [], 4: ["reserved"]}
 
 
+def test_licenses_of_many_kinds():
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    names = lambda t: sorted({known.names[i] for i, *_ in license_scan.scan([t], known)[0]})
+    assert names("a b c This work is licensed under the GNU Lesser General Public License, version 2.1 d e f") == ["LGPL-2.1"]
+    assert names("a b c This work is provided under the GNU General Public License, version 3 d e f") == ["GPL-3.0"]
+    assert names("Distributed under the MIT License") == names("It is released under MIT License.") == ["MIT"]
+    assert names("Licensed under CC BY-SA 4.0") == ["CC-BY-SA-4.0"] and names("Use is under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"]
+    assert not names("Released under the BSD License") and not names("some rights reserved")
+    assert "GPL-3.0" not in names("This work is licensed under the GNU Lesser General Public License, version 3")
+    body = license_scan.TEMPLATES["GPL-3.0-text"].split()
+    assert "GPL-3.0-text" in names(" ".join(["so"] * 50 + body[:2000] + ["changed"] + body[2001:-500]))
+    for name in ("MPL-2.0-text", "ISC-grant", "Unlicense-text", "BSD-disclaimer", "AGPL-grant", "EPL-2.0", "CC0-1.0-text"):
+        assert name in names("before it " * 9 + license_scan.TEMPLATES[name] + " behind it" * 9), name
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(1, None, None), (None, "no scheme", "<p>x"), (2, "http://A.Example.COM", ""), (2, "http://A.Example.COM", ""), (3, "x://h/en/7?q=1#f", "<div>" * 3000 + "deep"), (4, "https://Q.net/de/8", "plain & text"), (5, "https://com/en/", "<article><p>a<script>b</script></article>")]
