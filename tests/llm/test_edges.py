@@ -98,6 +98,31 @@ def test_near_dedup(documents):
     assert near_dedup.groups(empty(documents), 4).count() == 0 and near_dedup.keep_one(empty(documents)).count() == 0
 
 
+@pytest.mark.parametrize("size, times, words", [(5, 40, 1000), (8, 8, 480), (12, 2, 250), (400, 2, 2000)])
+def test_repeated_passages(size, times, words):
+    """A passage of size words, in other company each time, in a text of so many words that the base rules let through."""
+    passages = [[f"p{j:03}{k:03}" for k in range(size)] for j in range(max(1, times // 8))]
+    new = iter(f"new{i:04}" for i in range(words))
+    out = []
+    for t in range(times):
+        out += [*passages[t % len(passages)], next(new)]
+    out += [next(new) for _ in range(words - len(out))]
+    m = quality_rules.measure([" ".join(out)])
+    base_failed, kept = quality_rules.verdicts(m)
+    over = [n for n, most in quality_rules.MAX_PASSAGES.items() if m[f"passage_chars_{n}"][0] > most * m["body_chars"][0]]
+    assert not base_failed[0] and not kept[0]
+    assert over == {5: [5], 8: [8], 12: [12]}.get(size, [5, 8, 12])
+
+
+def test_a_doubled_header_is_no_passage():
+    header, body = " ".join(f"h{i}" for i in range(12)), " ".join(f"body{i}" for i in range(38))
+    block, rest = "\n".join(f"one line of block {i}" for i in range(80)), "\n".join(f"x{i} y{i} z{i} rest{i}" for i in range(300))
+    texts = [f"{header}\n{body}\n{header}", f"{body} {header} and {header}", f"{block}\n{rest}\n{block}"]
+    m = quality_rules.measure(texts)
+    base_failed, kept = quality_rules.verdicts(m)
+    assert kept.tolist() == [True, False, False] and not base_failed.any()
+
+
 def test_licenses(spark, documents):
     assert license_scan.licenses(documents).count() == documents.count() and license_scan.licenses(empty(documents)).count() == 0
     df = spark.createDataFrame([(1, "Released under the MIT License."), (2, None), (3, ""), (4, "all RIGHTS reserved")], "doc_id long, text string")
