@@ -5,6 +5,11 @@ For each host the pages that contain a line are counted, once each, and divided
 all its pages. Pages of a host with the same text count as one: copies of a page don't make its lines boilerplate. Lines
 and pages are compared whole, by their 64-bit hash; lines of spaces only are neither counted nor dropped.
 
+Near copies are not equal pages, but what they share is not boilerplate either. Lines that are frequent by the count above
+are counted again: pages with more than ``COPY_PERCENT`` percent of their characters in such lines are copies of each
+other for the most part, and all of a host's count as one. A line stays boilerplate if pages with text of their own make
+it so. So a host whose pages nearly all hold less text than their frame keeps its frame; the SQL lacks the second count.
+
 Counting shuffles hashes, made distinct and summed before the shuffle, so that neither a host nor a line that holds a
 third of all rows meets in one task. A host has at most (lines per page) * 100 / ``BOILERPLATE_PERCENT`` boilerplate lines on average;
 their table is written, and Spark broadcasts it if its measured size is under the session's threshold, else it splits
@@ -24,6 +29,8 @@ from .text import as_rows
 
 MIN_PAGES = 5
 BOILERPLATE_PERCENT = 2
+#: A page of which more than this is in frequent lines is taken for a copy.
+COPY_PERCENT = 75
 
 
 def _lines(text: Column) -> Column:
@@ -34,15 +41,29 @@ def _counted(line: Column) -> Column:
     return F.trim(line) != ""
 
 
+def _hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.xxhash64(x))
+
+
 def boilerplate(documents: DataFrame, host_col: str = "source", text_col: str = "text", min_pages: int = MIN_PAGES, percent: int = BOILERPLATE_PERCENT) -> DataFrame:
     """_host and _lines: the hashes of the host's boilerplate lines, for hosts that have any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     pages = documents.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.xxhash64(text).alias("_page"), text.alias("_text"))
     totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), _counted), lambda x: F.xxhash64(x)))
+    hashes = F.array_distinct(_hashes(F.filter(_lines(F.col("_text")), _counted)))
     lines = pages.select("_host", "_page", F.explode(hashes).alias("_line")).distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    often = lines.where(F.col("_n") >= min_pages).join(totals, "_host").where(F.col("_n") * 100 > F.col("_pages") * percent)
-    return often.groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
+    often = (F.col("_n") >= min_pages) & (F.col("_n") * 100 > F.col("_pages") * percent)
+    found = lines.where(F.col("_n") >= min_pages).join(totals, "_host").where(often).groupBy("_host", "_pages").agg(F.collect_list("_line").alias("_found"))
+    # Again for these lines, with the host's copied pages as one.
+    met = gathered(pages, documents).join(kept(found, "frequent", documents), "_host")
+    full = F.filter(_lines(F.col("_text")), _counted)
+    own = F.array_intersect(_hashes(full), F.col("_found"))
+    met = met.select("_host", "_pages", "_page", full.alias("_full"), own.alias("_own")).where(F.size("_own") > 0)
+    size = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
+    shared = size(F.filter("_full", lambda x: F.array_contains(F.col("_own"), F.xxhash64(x))))
+    page = F.when(shared * 100 <= size(F.col("_full")) * COPY_PERCENT, F.col("_page"))
+    again = met.select("_host", "_pages", page.alias("_page"), F.explode("_own").alias("_line")).distinct().groupBy("_host", "_pages", "_line").agg(F.count("*").alias("_n"))
+    return again.where(often).groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
 
 
 def drop_boilerplate(documents: DataFrame, host_col: str = "source", text_col: str = "text", min_pages: int = MIN_PAGES, percent: int = BOILERPLATE_PERCENT) -> DataFrame:

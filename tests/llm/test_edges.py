@@ -98,6 +98,20 @@ def test_near_dedup(documents):
     assert near_dedup.groups(empty(documents), 4).count() == 0 and near_dedup.keep_one(empty(documents)).count() == 0
 
 
+def test_near_copies_keep_their_body(spark):
+    """Stages 3 and 4 leave one document of a large group with its body."""
+    body = [" ".join(f"body{i}word{j}" for j in range(20)) for i in range(6)]
+    copies = [(i, "\n".join(["the header", *body[: i % 6], body[i % 6].replace(f"word{i % 20} ", f"other{i} "), *body[i % 6 + 1 :], "the footer"])) for i in range(60)]
+    others = [(100 + i, "\n".join(["the header", *(" ".join(f"text{i}x{k}y{j}" for j in range(9)) for k in range(3)), "the footer"])) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in copies + others], "doc_id long, text string, source string")
+    out = line_dedup.clean(df)
+    got = {r.doc_id: r.text.split("\n") for r in out.collect()}
+    assert all("the header" not in t and "the footer" not in t for t in got.values())
+    assert all(len(got[i]) == 6 for i, _ in copies) and all(len(got[i]) == 3 for i, _ in others)
+    left = [r for r in near_dedup.keep_one(out).collect() if r.doc_id < 100]
+    assert len(left) == 1 and len(left[0].text.split("\n")) == 6
+
+
 @pytest.mark.parametrize("size, times, words", [(5, 40, 1000), (8, 8, 480), (12, 2, 250), (400, 2, 2000)])
 def test_repeated_passages(size, times, words):
     """A passage of size words, in other company each time, in a text of so many words that the base rules let through."""
