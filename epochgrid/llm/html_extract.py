@@ -3,18 +3,19 @@
 1. Each page is parsed once into a tree (tags in any case, optional end tags, unclosed and cut-off markup). Subtrees of
    block elements are hashed over tag and normalised text; a page counts each hash once.
 2. Spark counts the hashes per host, with partial sums before the shuffle. A subtree is a site template if it is on
-   ``MIN_PAGES`` pages and on ``MIN_SHARE`` of the host's pages.
+   ``MIN_PAGES`` pages, and on ``MIN_SHARE`` of the host's pages or on ``MANY_PAGES``, however many more the host has.
 3. Pages are parsed again with the hashes of their templates: those subtrees go, and so do elements that are never
    article text (by tag, role, or words of class and id; layout elements around an article stay). What is left inside
    article or main elements is the text, or all that is left if a page has none of these.
 
-Plain text blocks inside an article (paragraphs, headings, list items and so on) are never taken for a template, since
-articles of a host may share passages; other elements inside an article can be.
+Plain text blocks inside an article (paragraphs, headings, list items and so on) may be passages that articles of a host
+share. They are templates only on ``PLAIN_SHARE`` of the host's pages or on ``PLAIN_MANY``; other elements inside an
+article are held to the same limits as those outside.
 
 Character references are decoded after parsing; white space inside a block becomes one space; blocks that have text are
 joined by one line feed, in page order.
 
-A host has at most (subtrees per page) / ``MIN_SHARE`` templates on average. Their table is written, and Spark broadcasts
+A host has at most (subtrees per page) / ``MIN_SHARE`` templates, or its subtrees / ``MANY_PAGES`` if that is more. Their table is written, and Spark broadcasts
 it if its measured size is under the session's threshold, so that html is not shuffled at all; beyond that it joins on
 the host and splits hosts that hold many pages.
 
@@ -40,6 +41,10 @@ from .url_filter import host_and_path
 
 MIN_PAGES = 5
 MIN_SHARE = 0.1
+#: So many pages of a host are enough, whatever their share.
+MANY_PAGES = 100
+#: The same for plain text blocks inside articles, which articles may share.
+PLAIN_SHARE, PLAIN_MANY = 0.5, 1000
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,7 +213,11 @@ def subtree_hashes(root: Node) -> dict[Node, int]:
         if text:
             h.update(_normal(text))
         sums[x] = v = h.intdigest()
-        if x.tag not in INLINE and x.tag not in ("#root", "html", "body", "head", "hr") and not (x.inside and x.tag in PLAIN):
+        if x.tag not in INLINE and x.tag not in ("#root", "html", "body", "head", "hr"):
+            plain = x.inside and x.tag in PLAIN
+            if plain and (x.main or x.tag in ("article", "main")):
+                continue
+            v = v & ~1 | plain  # the lowest bit tells the two kinds apart
             out[x] = v - (1 << 64) if v >> 63 else v
     return out
 
@@ -274,7 +283,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     counted = map_batches(rows, ["host", "html"], schema, read).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("of"))
-    often = counted.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("of"))
+    plain = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    least = F.when(plain, F.least(F.lit(PLAIN_SHARE) * F.col("of"), F.lit(float(PLAIN_MANY)))).otherwise(F.least(F.lit(min_share) * F.col("of"), F.lit(float(MANY_PAGES))))
+    often = counted.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= least)
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 

@@ -112,6 +112,15 @@ def test_near_copies_keep_their_body(spark):
     assert len(left) == 1 and len(left[0].text.split("\n")) == 6
 
 
+def test_templates_inside_articles_and_on_large_hosts(spark):
+    """A plain notice inside every article goes, a shared passage stays; a block on 150 of 2,000 pages goes."""
+    shared = lambda i: "<p>Shared passage</p>" if i % 4 == 0 else ""
+    rows = [(i, f"http://a.com/{i}", f"<article><p>Story {i}</p>{shared(i)}<p>Join our letter</p><ul><li>One offer<li>Two</ul></article>") for i in range(40)]
+    rows += [(100 + i, f"http://big.com/{i}", f"<div><p>Text {i}</p></div>" + ("<div>Summer sale</div>" if i < 150 else "")) for i in range(2000)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Story 4\nShared passage" and got[5] == "Story 5" and got[107] == "Text 7" and got[2000] == "Text 1900"
+
+
 @pytest.mark.parametrize("size, times, words", [(5, 40, 1000), (8, 8, 480), (12, 2, 250), (400, 2, 2000)])
 def test_repeated_passages(size, times, words):
     """A passage of size words, in other company each time, in a text of so many words that the base rules let through."""
