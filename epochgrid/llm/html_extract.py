@@ -45,6 +45,8 @@ MIN_SHARE = 0.1
 MANY_PAGES = 100
 #: The same for plain text blocks inside articles, which articles may share.
 PLAIN_SHARE, PLAIN_MANY = 0.5, 1000
+#: Characters of attributes from which a verdict is not kept for the next such tag.
+LONG = 2000
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,7 +167,8 @@ def parse(source: str) -> Node:
             if found is not None:
                 node = found.parent
         attributes = m[3] or m[5] or ""
-        noise, main = _judge(tag, attributes if len(attributes) < 2000 else attributes[:2000], node.inside)
+        judge = _judge if len(attributes) < LONG else _judge.__wrapped__  # long ones, such as data: URIs, don't recur
+        noise, main = judge(tag, attributes, node.inside)
         new = Node(tag, node, noise, node.inside or main, main)
         if main:
             x = node

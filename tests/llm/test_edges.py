@@ -121,6 +121,13 @@ def test_templates_inside_articles_and_on_large_hosts(spark):
     assert got[4] == "Story 4\nShared passage" and got[5] == "Story 5" and got[107] == "Text 7" and got[2000] == "Text 1900"
 
 
+@pytest.mark.parametrize("late", ["class='ad-banner'", "hidden", "role=navigation", "aria-hidden=true"])
+def test_attributes_behind_a_long_one(late):
+    long = f"data-state='{'x' * 5000}' style='{'color: red; ' * 300}'"
+    assert html_extract.extract(html_extract.parse(f"<p>text<div {long} {late}>advert</div>")) == "text"
+    assert html_extract.extract(html_extract.parse(f"<div>aside</div><div {long} itemprop=articleBody><p>text</div>")) == "text"
+
+
 @pytest.mark.parametrize("size, times, words", [(5, 40, 1000), (8, 8, 480), (12, 2, 250), (400, 2, 2000)])
 def test_repeated_passages(size, times, words):
     """A passage of size words, in other company each time, in a text of so many words that the base rules let through."""
