@@ -9,8 +9,10 @@ one, two and three labels, for the path's first segment and for last label and f
 leave a labelled URL's own label out while fitting. Trees split on histograms of at most 32 quantile bins and fit the
 gradient of the logistic loss.
 
-Fitting reads a bounded sample of labelled URLs (``MAX_ROWS``, chosen by the hash of the url) in one task; the driver
-gets the model, whose suffix table has a row for each suffix in the sample. Judging is one pass without a shuffle.
+The suffix statistics count all distinct labelled URLs, in Spark. Fitting the trees reads a bounded sample of these
+(``MAX_ROWS``, chosen by the hash of the url) in one task, with the statistics that each needs; the driver gets the trees.
+The statistics are written, and rows to be judged get theirs by five joins, which Spark broadcasts if the measured size is
+under the session's threshold, else it splits skewed suffixes.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule. Without labelled URLs, or
 with labels of one kind only, the method's verdict is that kind, else allow. Repeated rows are judged one by one.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import gathered
+from .storage import gathered, kept
 from .text import map_batches
 
 MAX_ROWS = 10_000
@@ -76,16 +78,37 @@ def suffixes(host: str, path: str) -> list[str]:
     return [f"1 {labels[-1]}", f"2 {'.'.join(labels[-2:])}", f"3 {'.'.join(labels[-3:])}", f"p {first}", f"s {labels[-1]} {first}"]
 
 
-def rates(keys: list[list[str]], table: dict[str, tuple[int, int]], prior: float, labels: np.ndarray | None = None) -> np.ndarray:
-    """Smoothed shares of blocked URLs for each suffix; labels are those to leave out."""
-    out = np.empty((len(keys), 5))
-    for i, own in enumerate(keys):
-        for j, key in enumerate(own):
-            n, k = table.get(key, (0, 0))
-            if labels is not None:
-                n, k = n - 1, k - labels[i]
-            out[i, j] = (k + 4 * prior) / (n + 4)
-    return out
+def suffix_columns(host: Column, path: Column) -> list[Column]:
+    """The same as columns."""
+    labels, parts = F.split(host, r"\."), F.split(path, "/")
+    first = F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), F.lit(n)), ".")
+    return [F.concat(F.lit("1 "), last(1)), F.concat(F.lit("2 "), last(2)), F.concat(F.lit("3 "), last(3)), F.concat(F.lit("p "), first), F.concat(F.lit("s "), last(1), F.lit(" "), first)]
+
+
+def statistics(labelled: DataFrame) -> DataFrame:
+    """key, n and k: for each suffix of labelled URLs their number and that of blocked ones. labelled must be distinct."""
+    keys = F.explode(F.array(*suffix_columns(F.col("host"), F.col("path")))).alias("key")
+    return labelled.select(keys, F.col("blocked").cast("long").alias("blocked")).groupBy("key").agg(F.count("*").alias("n"), F.sum("blocked").alias("k"))
+
+
+def with_counts(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds counts: n and k for each of the five suffixes."""
+    names = rows.columns
+    for j, key in enumerate(suffix_columns(F.col("host"), F.col("path"))):
+        own = table.select(F.col("key").alias(f"key{j}"), F.col("n").alias(f"n{j}"), F.col("k").alias(f"k{j}"))
+        rows = rows.withColumn("own", key).join(own, F.col("own") == F.col(f"key{j}"), "left").drop("own", f"key{j}")
+    zero = [F.coalesce(F.col(f"{c}{j}"), F.lit(0).cast("long")) for j in range(5) for c in "nk"]
+    return rows.select(*names, F.array(*zero).alias("counts"))
+
+
+def rates(counts: np.ndarray, prior: float, labels: np.ndarray | None = None) -> np.ndarray:
+    """Smoothed shares of blocked URLs for each suffix, of its n and k; labels are those to leave out."""
+    counts = counts.reshape(-1, 5, 2)
+    n, k = counts[:, :, 0], counts[:, :, 1]
+    if labels is not None:
+        n, k = n - 1, k - labels[:, None]
+    return (k + 4 * prior) / (n + 4)
 
 
 # --- trees ------------------------------------------------------------------------------------------------------------
@@ -142,42 +165,45 @@ def predict_tree(x: np.ndarray, tree) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, urls: list[tuple[str, str, str]], blocked: np.ndarray) -> None:
+    def __init__(self, urls: list[tuple[str, str, str]], blocked: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """counts: n and k of each URL's suffixes; without these, of the URLs given."""
         self.constant = None
         if len(set(blocked.tolist())) < 2:
             self.constant = float(blocked[0]) if len(blocked) else 0.0
             return
-        keys = [suffixes(h, p) for _, h, p in urls]
-        table: dict[str, list[int]] = {}
-        for own, b in zip(keys, blocked, strict=True):
-            for key in own:
-                row = table.setdefault(key, [0, 0])
-                row[0] += 1
-                row[1] += int(b)
-        self.table = {k: tuple(v) for k, v in table.items()}
+        self.table: dict[str, list[int]] = {}
+        if counts is None:
+            for (_, h, p), b in zip(urls, blocked, strict=True):
+                for key in suffixes(h, p):
+                    row = self.table.setdefault(key, [0, 0])
+                    row[0] += 1
+                    row[1] += int(b)
         self.prior = float(blocked.mean())
-        x = np.concatenate([np.array([lexical(*u) for u in urls]), rates(keys, self.table, self.prior, blocked)], axis=1)
+        x = np.concatenate([np.array([lexical(*u) for u in urls]), rates(self._counts(urls, counts), self.prior, blocked)], axis=1)
         self.start, self.trees = boost(x, blocked.astype(float))
 
-    def score(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
+    def _counts(self, urls: list[tuple[str, str, str]], counts: np.ndarray | None) -> np.ndarray:
+        return np.array([[self.table.get(key, (0, 0)) for key in suffixes(h, p)] for _, h, p in urls]) if counts is None else counts
+
+    def score(self, urls: list[tuple[str, str, str]], counts: np.ndarray | None = None) -> np.ndarray:
         if self.constant is not None or not urls:
             return np.full(len(urls), self.constant or 0.0)
-        x = np.concatenate([np.array([lexical(*u) for u in urls]), rates([suffixes(h, p) for _, h, p in urls], self.table, self.prior)], axis=1)
+        x = np.concatenate([np.array([lexical(*u) for u in urls]), rates(self._counts(urls, counts), self.prior)], axis=1)
         return 1 / (1 + np.exp(-(self.start + sum(predict_tree(x, t) for t in self.trees))))
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """labelled: url, host, path, blocked."""
+def train(labelled: DataFrame, table: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """labelled: url, host, path, blocked, distinct. table: see statistics."""
     rows = labelled.select("url", "host", "path", F.col("blocked").cast("int").alias("blocked"), F.xxhash64("url").alias("order"))
-    rows = rows.orderBy("order", "url", "blocked").limit(max_rows).repartition(1)
+    rows = with_counts(rows.orderBy("order", "url").limit(max_rows), table).repartition(1)
 
     def fit(batches):
-        urls, blocked = [], []
+        urls = []
         for batch in batches:
-            a, b, c, y, order = (x.to_pylist() for x in batch.columns)
-            urls += zip(order, a, b, c, y, strict=True)
+            a, b, c, y, order, counts = (x.to_pylist() for x in batch.columns)
+            urls += zip(order, a, b, c, y, counts, strict=True)
         urls.sort()
-        model = Model([u[1:4] for u in urls], np.array([u[4] for u in urls], dtype=int))
+        model = Model([u[1:4] for u in urls], np.array([u[4] for u in urls], dtype=int), np.array([u[5] for u in urls]))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     got = rows.mapInArrow(fit, "model binary").collect()
@@ -191,14 +217,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", F.coalesce(url, F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    model = train(rows.where("rule is not null").withColumn("blocked", F.col("by_rule") == "block"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    labelled = rows.where("rule is not null").select("url", "host", "path", (F.col("by_rule") == "block").alias("blocked")).distinct()
+    table = kept(statistics(labelled), "suffixes", pages)
+    shared = pages.sparkSession.sparkContext.broadcast(train(labelled, table))
 
     def work(batch):
-        a, b, c = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(list(zip(a, b, c, strict=True))))], names=[*batch.schema.names, "score"])
+        a, b, c, counts = (batch.column(k).to_pylist() for k in (1, 2, 3, 6))
+        return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(shared.value.score(list(zip(a, b, c, strict=True)), np.array(counts)))], names=[*batch.schema.names[:6], "score"])
 
-    out = map_batches(gathered(rows, pages), rows.columns, rows.select("*").schema.add("score", "double"), work)
+    out = map_batches(with_counts(gathered(rows, pages), table), [*rows.columns, "counts"], rows.select("*").schema.add("score", "double"), work)
     by_method = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "score")
 

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,20 @@ def test_attributes_behind_a_long_one(late):
     assert html_extract.extract(html_extract.parse(f"<div>aside</div><div {long} itemprop=articleBody><p>text</div>")) == "text"
 
 
+def test_url_statistics_cover_all(spark):
+    """Suffixes outside the sample count, and a URL that fills the table does not fill the sample."""
+    urls = [(f"http://h{i}.com/en/{i}", f"h{i}.com", f"/en/{i}", i % 2 == 0) for i in range(300)]
+    labelled = spark.createDataFrame(urls, "url string, host string, path string, blocked boolean")
+    table = url_filter.statistics(labelled)
+    want = Counter(k for _, h, p, _ in urls for k in url_filter.suffixes(h, p))
+    assert {r.key: r.n for r in table.collect()} == dict(want)
+    got = url_filter.with_counts(labelled, table).collect()
+    assert all(r.counts[0] == 300 and r.counts[1] == 150 and r.counts[4] == 1 and r.counts[5] == r.blocked for r in got)
+    pages = [(0, "http://a.com/en/1")] * 11_000 + [(i, f"http://{'b' if i % 2 else 'c'}{i}.{'com/en' if i % 2 else 'net/de'}/{i}") for i in range(1, 400)] + [(1000 + i, f"http://x{i}.{'com' if i % 2 else 'net'}/it/{i}") for i in range(100)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string")).where("page_id >= 1000").collect()
+    assert len(rows) == 100 and {(r.page_id % 2, r.verdict) for r in rows} == {(1, "block"), (0, "allow")}
+
+
 @pytest.mark.parametrize("size, times, words", [(5, 40, 1000), (8, 8, 480), (12, 2, 250), (400, 2, 2000)])
 def test_repeated_passages(size, times, words):
     """A passage of size words, in other company each time, in a text of so many words that the base rules let through."""
