@@ -181,17 +181,60 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None) and (not fits or r.verdict == max(fits)[2])
 
 
-def test_trees_learn():
-    r = random.Random(2)
-    urls, y = [], []
-    for i in range(1500):
-        bad = r.random() < 0.4
-        host = f"{'x' * r.randrange(3)}site{r.randrange(30)}.{'biz' if bad and r.random() < 0.9 else 'com'}"
-        path = f"/{'a' * r.randrange(9)}/{r.randrange(10 ** (6 if bad else 2))}"
-        urls.append((f"http://{host}{path}", host, path))
-        y.append(int(bad))
-    model = url_filter.Model(urls[:1000], np.array(y[:1000]))
-    assert np.mean((model.score(urls[1000:]) >= 0.5) == np.array(y[1000:])) > 0.9
+@pytest.mark.parametrize(("sf", "parts"), [("sf0.01", (0, 1, 2, 3)), ("sf0.1", (2,))])
+def test_trees_agree_with_rules_on_urls_not_learned_from(spark, sf, parts):
+    """A quarter of the URLs that a rule labels is left out of the statistics and of the fitting, then judged."""
+    rows = url_filter.ruled(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet"))
+    right = blocked = n = 0
+    for part in parts:
+        out = F.crc32(F.col("url").cast("binary")) % 4 == part
+        labelled = url_filter.labelled_urls(rows.where(~out))
+        table = url_filter.statistics(labelled).cache()
+        judged = url_filter.scored(rows.where(out & F.col("by_rule").isNotNull()), url_filter.train(labelled, table), table, rows).collect()
+        right += sum((r.score >= url_filter.THRESHOLD) == (r.by_rule == "block") for r in judged)
+        blocked += sum(r.by_rule == "block" for r in judged)
+        n += len(judged)
+    print(f"{sf}: {right} of {n} right, {blocked} blocked by the rules")
+    assert right >= 0.95 * n > max(blocked, n - blocked)
+
+
+def test_counts_leave_a_fold_out(spark):
+    r = random.Random(5)
+    made = [(i, f"http://{r.choice('abc')}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de'])}/{r.randrange(900)}") for i in range(300)]
+    rows = url_filter.ruled(spark.createDataFrame(made, "page_id long, url string"))
+    labelled = url_filter.labelled_urls(rows)
+    got = url_filter.with_counts(labelled, url_filter.statistics(labelled), "fold").collect()
+    known = [(x.host, x.path, x.blocked, x.fold) for x in got]
+    for x in got:
+        same = [y for y in known if y[3] != x.fold and y[0].split(".")[-1] == x.host.split(".")[-1]]
+        assert x.counts[:2] == [len(same), sum(y[2] for y in same)]
+        same = [y for y in known if y[3] != x.fold and (y[0].split(".")[-1], y[1][:5]) == (x.host.split(".")[-1], x.path[:5])]
+        assert x.counts[10:] == [len(same), sum(y[2] for y in same)]
+
+
+def test_boosting_against_every_split():
+    """Stumps: each is the best of all splits of the gradient, found by trying every value."""
+    r = np.random.default_rng(2)
+    x = r.integers(0, 12, size=(200, 3)).astype(float)
+    y = (x[:, 1] + r.normal(size=200) > 6).astype(float)
+    start, trees = url_filter.boost(x, y, trees=5, depth=1)
+    score = np.full(200, np.log(y.mean() / (1 - y.mean())))
+    for feature, cut, value in trees:
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+        best = (-1.0, None)
+        for j in range(3):
+            for c in np.unique(x[:, j])[:-1]:
+                left = x[:, j] <= c
+                if 10 <= left.sum() <= 190:
+                    gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1)
+                    best = max(best, (gain, (j, left)), key=lambda z: z[0])
+        j, left = best[1]
+        assert feature[0] == j and ((x[:, j] <= cut[0]) == left).all()
+        step = np.where(left, *(0.2 * g[s].sum() / (h[s].sum() + 1) for s in (left, ~left)))
+        assert np.allclose(url_filter.predict_tree(x, (feature, cut, value)), step)
+        score = score + step
+    assert start == pytest.approx(np.log(y.mean() / (1 - y.mean())))
 
 
 # --- 5 ----------------------------------------------------------------------------------------------------------------

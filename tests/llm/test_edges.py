@@ -132,10 +132,10 @@ def test_attributes_behind_a_long_one(late):
 
 def test_url_statistics_cover_all(spark):
     """Suffixes outside the sample count, and a URL that fills the table does not fill the sample."""
-    urls = [(f"http://h{i}.com/en/{i}", f"h{i}.com", f"/en/{i}", i % 2 == 0) for i in range(300)]
-    labelled = spark.createDataFrame(urls, "url string, host string, path string, blocked boolean")
+    urls = [(f"http://h{i}.com/en/{i}", f"h{i}.com", f"/en/{i}", i % 2 == 0, i % 5) for i in range(300)]
+    labelled = spark.createDataFrame(urls, "url string, host string, path string, blocked boolean, fold int")
     table = url_filter.statistics(labelled)
-    want = Counter(k for _, h, p, _ in urls for k in url_filter.suffixes(h, p))
+    want = Counter(k for _, h, p, *_ in urls for k in ("1 com", f"2 {h}", f"3 {h}", "p en", "s com en", f"d {h} {p[:5]}".replace(" /", "/")))
     assert {r.key: r.n for r in table.collect()} == dict(want)
     got = url_filter.with_counts(labelled, table).collect()
     assert all(r.counts[0] == 300 and r.counts[1] == 150 and r.counts[4] == 1 and r.counts[5] == r.blocked for r in got)
