@@ -3,22 +3,29 @@
 1. One pass gives each document the size of its shingle set, a 128-bit fingerprint of that set, and band hashes of its
    MinHash signature. Documents with the same fingerprint are one class: copies cost one row from here on.
 2. Classes that share a band hash form a bucket. Buckets with the same members in several bands are looked at once, in
-   the first of these bands. A bucket whose members exceed ``CELL`` rows or ``CELL_SHINGLES`` shingles is dealt into
-   blocks, and each pair of blocks is a cell; smaller buckets are one cell. So every pair of a bucket meets in one cell,
+   the first of these bands. Only classes in a bucket are looked at again, and only their texts are shuffled: a bitmap of
+   their fingerprints, of at most ``BITS`` bits whatever the input, lets tasks leave out the others (a few wrongly let
+   through go in the join that follows).
+3. If a bucket has ``REPRESENT`` members or more, each member of such buckets is first compared with the representative
+   of its largest one, once, and links found so become parts. Members of one part need not meet again: buckets that lie
+   in one part are done, and in others the members that share the representative's part meet the rest only. So a group of
+   near copies costs as many comparisons as it has members.
+4. A bucket whose members exceed ``CELL`` rows or ``CELL_SHINGLES`` shingles is dealt into blocks, and each pair of blocks
+   that has anything to compare is a cell; smaller buckets are one cell. So every pair of different parts meets in one cell,
    and no task holds more than a cell.
-3. In a cell, pairs that met in an earlier band, or whose set sizes rule the threshold out, are left out. The rest is
-   compared in batches of independent MinHash values: after each batch, a pair goes when the posterior probability
-   (uniform prior) that its similarity reaches the threshold is below ``MISS``. Survivors that the cell hasn't linked yet
-   are verified on their full sets. Only links that join two parts of the cell leave it: fewer than its members.
-4. Links become components by alternating large-star and small-star steps, in written rounds.
+5. In a cell, pairs of one part, pairs that met in an earlier band, and those whose set sizes rule the threshold out are
+   left out. The rest is compared in batches of independent MinHash values: after each batch, a pair goes when the posterior
+   probability (uniform prior) that its similarity reaches the threshold is below ``MISS``. Survivors that the cell hasn't
+   linked yet are verified on their full sets. Only links that join two parts of the cell leave it.
+6. Links become components by alternating large-star and small-star steps, in written rounds.
 
 With ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**30 = 7e-6;
 no cap is set on buckets, candidates or partners.
 
 Defined results: texts are lower-cased in A-Z; words are runs of ``[^\\x20\\x09-\\x0D]``; a text with fewer words than a
-shingle has is one shingle; a text without words (or null) has an empty set and is linked with nothing. Shingles are told
-apart by 64-bit hashes. A null id is never the smallest; if a component has no other, its id is null. Rows with one id
-are documents of their own with equal ids. An empty table gives no row.
+shingle has is one shingle; a text without words (or null) has an empty set and is linked with nothing. Texts of any length
+are read whole. Shingles are told apart by 64-bit hashes. A null id is never the smallest; if a component has no other, its
+id is null. Rows with one id are documents of their own with equal ids. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +46,10 @@ MISS = 1e-6
 #: MinHash values for verification, and how many are compared at a time.
 CHECKS, BATCH = 256, 32
 CELL, CELL_SHINGLES = 1024, 1 << 21
+#: Members from which a bucket's are compared with its representative first.
+REPRESENT = 256
+#: Most bits of the bitmap of classes in buckets (64 MB).
+BITS = 1 << 29
 #: Edges of the component graph that a task writes.
 EDGES = 200_000
 
@@ -157,22 +168,28 @@ class Parts:
         return x != y
 
 
-def cell_links(texts: list[str], blocks_of: np.ndarray, band: int, size: int, percent: int) -> list[tuple[int, int]]:
-    """Verified links that connect whatever is linked in the cell. With two blocks, pairs inside one are left out."""
+def cell_links(texts: list[str], blocks_of: np.ndarray, band: int, size: int, percent: int, parts_of: np.ndarray | None = None, star: bool = False) -> list[tuple[int, int]]:
+    """Verified links that connect whatever is linked in the cell.
+
+    With two blocks, pairs inside one are left out, and so are pairs with one number in parts_of. With star, only pairs
+    with the first text are looked at.
+    """
     s = Sets(texts, size)
     n = len(texts)
     two = blocks_of.min() != blocks_of.max()
-    early = s.bands()[:, :band]
+    early = s.bands()[:, :band] if band and not star else None
     least = fewest_matches(percent / 100, MISS)
     checks = None
     parts, out = Parts(n), []
-    for i in range(n - 1):
+    for i in range(1 if star else n - 1):
         j = np.arange(i + 1, n)
         a, b = s.sizes[i], s.sizes[j]
         j = j[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
         if two:
             j = j[blocks_of[j] != blocks_of[i]]
-        if band and len(j):
+        if parts_of is not None:
+            j = j[parts_of[j] != parts_of[i]]
+        if early is not None and len(j):
             j = j[~(early[j] == early[i]).any(axis=1)]
         if not len(j):
             continue
@@ -196,30 +213,68 @@ def cell_links(texts: list[str], blocks_of: np.ndarray, band: int, size: int, pe
     return out
 
 
-def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of classes (a1, a2, b1, b2). classes: _a, _b, _n, _bands; texts: _a, _b, _text, a row for each class at least."""
-    rows = classes.select("_a", "_b", "_n", F.posexplode("_bands").alias("band", "key")).repartition("band", "key")
-    met = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("_n").alias("shingles"), F.bit_xor("_a").alias("x"), F.bit_xor("_b").alias("y")).where("n > 1")
-    # The same members in several bands: once, in the first.
-    once = met.groupBy("x", "y", "n").agg(F.min(F.struct("band", "key", "shingles")).alias("m")).select("m.band", "m.key", "n", "m.shingles")
-    wide = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
-    members = rows.join(once.withColumn("wide", wide).select("band", "key", "wide").hint("shuffle_merge"), ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("_a", "_b"), F.col("wide")))
-    # Block i meets block j in one cell; a bucket of one block is a cell itself.
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)))
-    cells = kept(cells.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_a", "_b"), "cells", classes)
-    need = cells.select("_a", "_b").distinct()
+def _positions(bits: int) -> list[Column]:
+    """Four bits of the bitmap for a fingerprint, whose halves are evenly spread."""
+    return [F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(bits - 1)) for c in ("_a", "_b") for shift in (0, 32)]
+
+
+def class_bitmap(need: DataFrame) -> np.ndarray:
+    """A bitmap with the four bits of each row set (_a, _b): at least 16 bits for each row, and at most ``BITS`` in all."""
+    bits = min(BITS, max(1 << 15, 1 << int(16 * need.count() - 1).bit_length()))
+    at = need.select(F.explode(F.array(*_positions(bits))).alias("at")).select(F.shiftright("at", 15).alias("word"), F.col("at").bitwiseAND(F.lit(32767)).alias("bit"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for word, held in at.groupBy("word").agg(F.bitmap_construct_agg("bit")).toLocalIterator():
+        out[4096 * word : 4096 * word + len(held)] = np.frombuffer(held, np.uint8)
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.ones(len(a), dtype=bool)
+    for x in (a.view(np.uint64), b.view(np.uint64)):
+        for shift in (0, 32):
+            at = (x >> np.uint64(shift)) & np.uint64(8 * len(bitmap) - 1)
+            out &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def class_texts(source: DataFrame, need: DataFrame, size: int) -> DataFrame:
+    """_a, _b, _text: one text of each needed class. need: distinct _a, _b."""
+    spark = source.sparkSession
+    shared = spark.sparkContext.broadcast(class_bitmap(need))
+
+    def work(batch):
+        texts = batch.column(0).to_pylist()
+        a, b, kept_texts = [], [], []
+        for at, part in blocks(texts):
+            first, second = Sets(part, size).fingerprints()
+            go = np.flatnonzero(_in_bitmap(shared.value, first, second))
+            a += first[go].tolist()
+            b += second[go].tolist()
+            kept_texts += [part[i] for i in go.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kept_texts, pa.string())], names=["_a", "_b", "_text"])
+
+    found = map_batches(gathered(source.select("text"), source), ["text"], "_a long, _b long, _text string", work)
     # One text for each class, chosen before the shuffle too: copies do not meet in one task.
-    found = texts.groupBy("_a", "_b").agg(F.min("_text").alias("_text")).join(need.hint("shuffle_merge"), ["_a", "_b"])
-    cell = ["band", "key", "low", "high"]
-    dealt = cells.join(found.hint("shuffle_merge"), ["_a", "_b"]).repartition(*cell).sortWithinPartitions(*cell)
+    return found.groupBy("_a", "_b").agg(F.min("_text").alias("_text")).join(need.hint("shuffle_merge"), ["_a", "_b"])
+
+
+_CELL = ["band", "key", "low", "high"]
+_PAIR = "a1 long, a2 long, b1 long, b2 long"
+
+
+def verified(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of all cells. cells: _CELL, block, _a, _b, _part (null: none). A high of -1 marks a star: block 0 is its centre."""
+    dealt = cells.join(texts.hint("shuffle_merge"), ["_a", "_b"]).repartition(*_CELL).sortWithinPartitions(*_CELL)
 
     def verify(batches):
         held: list[tuple] = []
 
         def done():
             if len(held) > 1:
-                held.sort(key=lambda r: r[5:7])  # the same order in every retry
-                for i, j in cell_links([r[7] for r in held], np.array([r[4] for r in held]), held[0][0], size, percent):
+                held.sort(key=lambda r: (r[4] if r[3] < 0 else 0, r[5:7]))  # the same order in every retry
+                star = held[0][3] < 0
+                parts = None if star or held[0][8] is None else np.unique(np.array([r[8] for r in held]), return_inverse=True)[1]
+                for i, j in cell_links([r[7] for r in held], np.array([0 if star else r[4] for r in held]), held[0][0], size, percent, parts, star):
                     yield held[i][5:7] + held[j][5:7]
 
         for batch in batches:
@@ -237,7 +292,68 @@ def links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     def _pairs(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a1", "a2", "b1", "b2"])
 
-    return dealt.select(*cell, "block", "_a", "_b", "_text").mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+    return dealt.select(*_CELL, "block", "_a", "_b", "_text", "_part").mapInArrow(verify, _PAIR)
+
+
+def as_edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v"))
+
+
+def links(classes: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of classes (a1, a2, b1, b2) that connect all that is linked. classes: _a, _b, _n, _bands; source: text."""
+    rows = classes.select("_a", "_b", "_n", F.posexplode("_bands").alias("band", "key"))
+    least = F.min(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    met = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("_n").alias("shingles"), F.bit_xor("_a").alias("x"), F.bit_xor("_b").alias("y"), least.alias("rep")).where("n > 1")
+    # The same members in several bands: once, in the first.
+    once = met.groupBy("x", "y", "n").agg(F.min(F.struct("band", "key", "shingles", "rep")).alias("m")).select("m.band", "m.key", "n", "m.shingles", "m.rep")
+    # Written, so that both sides of the join are shuffles of their own, and a bucket of many members is split.
+    buckets = kept(once, "buckets", classes)
+    members = kept(rows.join(buckets.hint("shuffle_merge"), ["band", "key"]), "members", classes)
+    need = kept(members.select("_a", "_b").distinct(), "need", classes)
+    texts = kept(class_texts(source, need, size), "texts", source)
+    if buckets.where(F.col("n") >= REPRESENT).isEmpty():
+        wide = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("long")
+        parted = members.withColumns({"wide": wide, "major": F.lit(0).cast("long"), "is_major": F.lit(False), "_part": F.lit(None).cast("string")})
+        return verified(dealt_cells(parted), texts, size, percent)
+
+    # Each member of a large bucket against the representative of its largest one.
+    is_rep = (F.col("rep.a") == F.col("_a")) & (F.col("rep.b") == F.col("_b"))
+    home = members.where((F.col("n") >= REPRESENT) & ~is_rep).groupBy("_a", "_b").agg(F.max(F.struct("n", "shingles", "band", "key", "rep")).alias("m"))
+    many = F.greatest(F.ceil(F.col("m.n") / CELL), F.ceil(F.col("m.shingles") / CELL_SHINGLES)).cast("long")
+    home = home.select("m.band", "m.key", F.pmod(F.xxhash64("_a", "_b"), many).alias("low"), F.lit(-1).cast("long").alias("high"), F.lit(1).cast("long").alias("block"), "_a", "_b", "m.rep")
+    centres = home.select(*_CELL, F.lit(0).cast("long").alias("block"), F.col("rep.a").alias("_a"), F.col("rep.b").alias("_b")).distinct()
+    star = home.drop("rep").unionByName(centres).withColumn("_part", F.lit(None).cast("string"))
+    near = kept(verified(star, texts, size, percent), "stars")
+    of = components(as_edges(near), classes).select(F.col("node.a").alias("_a"), F.col("node.b").alias("_b"), F.concat_ws(" ", "root.a", "root.b").alias("root"))
+    of = kept(of, "parts")
+
+    # What lies in the part of its bucket's representative meets only what does not.
+    part = lambda a, b: F.coalesce("root", F.concat_ws(" ", a, b))
+    lead = buckets.join(of.select(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("rep"), "root").hint("shuffle_merge"), "rep", "left")
+    lead = lead.select("band", "key", part("rep.a", "rep.b").alias("lead"))
+    parted = members.join(of.hint("shuffle_merge"), ["_a", "_b"], "left").select("band", "key", "n", "shingles", "_a", "_b", "_n", part("_a", "_b").alias("_part"))
+    parted = kept(parted.join(kept(lead, "leads", classes).hint("shuffle_merge"), ["band", "key"]).withColumn("is_major", F.col("_part") == F.col("lead")), "parted", classes)
+    mine = lambda c, major: F.sum(F.when(F.col("is_major") == major, F.col(c)).otherwise(0))
+    sizes = parted.withColumn("one", F.lit(1).cast("long")).groupBy("band", "key").agg(*[mine(c, m).alias(f"{c}_{int(m)}") for c in ("one", "_n") for m in (False, True)]).where("one_0 > 0")
+    count = lambda m: F.greatest(F.ceil(F.col(f"one_{m}") / CELL), F.ceil(F.col(f"_n_{m}") / CELL_SHINGLES)).cast("long")
+    small = (F.col("one_0") + F.col("one_1") <= CELL) & (F.col("_n_0") + F.col("_n_1") <= CELL_SHINGLES)
+    sizes = sizes.select("band", "key", F.when(small, 1).otherwise(count(0)).alias("wide"), F.when(small, 0).otherwise(count(1)).alias("major"))
+    rest = kept(verified(dealt_cells(parted.join(kept(sizes, "sizes", classes).hint("shuffle_merge"), ["band", "key"])), texts, size, percent), "links")
+    return near.unionByName(rest)
+
+
+def dealt_cells(members: DataFrame) -> DataFrame:
+    """The cells of buckets. members: band, key, _a, _b, _part, is_major, and the bucket's numbers of blocks.
+
+    Blocks 0 to wide - 1 meet each other and themselves, and each of the major blocks behind them, which hold the members
+    with is_major; these don't meet among themselves. With no major block all members are in the first ones.
+    """
+    hashed = F.xxhash64("_a", "_b")
+    behind = F.col("is_major") & (F.col("major") > 0)
+    block = F.when(behind, F.col("wide") + F.pmod(hashed, F.greatest("major", F.lit(1)))).otherwise(F.pmod(hashed, F.col("wide")))
+    last = F.when(behind, F.col("wide") - 1).otherwise(F.col("wide") + F.col("major") - 1)
+    cells = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return cells.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "_a", "_b", "_part")
 
 
 # --- components -------------------------------------------------------------------------------------------------------
@@ -249,11 +365,14 @@ def components(pairs: DataFrame, source: DataFrame) -> DataFrame:
     before, n = None, edges.count()
     while True:
         tasks = 1 + n // EDGES  # a round's edges are known, and few against the documents
+        # A centre of many edges is split while joining if the other side is a shuffle of its own, not an aggregate's.
+        apart = (lambda df: kept(df, "low")) if n > EDGES else (lambda df: df)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Now every edge points down: the small star of u takes its lower neighbours.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = apart(large)
+        low = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low.hint("shuffle_merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
         edges = kept(small.distinct().coalesce(tasks), "edges")
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
@@ -268,9 +387,7 @@ def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "do
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = kept(read_sets(gathered(source, source), size, True).drop("text"), "sets")
     classes = kept(rows.where("_n > 0").groupBy("_a", "_b", "_n", "_bands").agg(F.min("doc_id").alias("first")), "classes", source)
-    texts = read_sets(gathered(source.select("text"), source), size, False).select("_a", "_b", F.col("text").alias("_text"))
-    found = links(classes, texts, size, percent)
-    linked = components(found.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v")), classes)
+    linked = components(as_edges(links(classes, source, size, percent)), classes)
     linked = linked.select(F.col("node.a").alias("_a"), F.col("node.b").alias("_b"), "root")
     own = classes.select("_a", "_b", "first").join(linked.hint("shuffle_merge"), ["_a", "_b"], "left")
     # Classes without a link have no root, and take no part in the join by root.
@@ -284,7 +401,11 @@ def groups(documents: DataFrame, size: int, percent: int = 80, id_col: str = "do
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """documents with all their columns: of each component, one row with the smallest id. Texts without words all stay."""
+    """documents with all their columns: of each component, one row with the smallest id. Texts without words all stay.
+
+    Of rows that share this id, those with the smallest fingerprint are looked at, and of these the one with the smallest text
+    stays, then the one that is smallest as JSON. Shingles have five words unless size says otherwise.
+    """
     first = groups(documents, size, percent).where("_n > 0 and doc_id <=> _component")
     # Rows may share the smallest id, or have none: of those one set, and of its rows one.
     best = first.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("s"), F.count("*").alias("_rows"), F.first("_component").alias("_id"))
@@ -293,7 +414,7 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     key = (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb")) & F.col("row.doc_id").eqNullSafe(F.col("_id"))
     met = rows.where("_n > 0").join(best.hint("shuffle_merge"), key)
     alone = met.where("_rows = 1").select("row")
-    several = met.where("_rows > 1").dropDuplicates(["_id", "_a", "_b"]).select("row")
+    several = met.where("_rows > 1").groupBy("_id", "_a", "_b").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row")).select("row")
     return gathered(alone.unionByName(several), documents).unionByName(rows.where("_n = 0").select("row")).select("row.*")
 
 
