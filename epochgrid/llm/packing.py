@@ -3,16 +3,19 @@
 1. Every document is tokenised once, with id 0 at its end, and cut into windows; what remains is shorter than a window.
    The pieces are written to the shared folder, remainders with their ids.
 2. The histogram of the remainders has fewer bins than the window has tokens, whatever the input. On the driver, all
-   pairs and triples of present lengths that fill a window exactly are enumerated, and quadruples of the most frequent
-   lengths. Non-negative least squares (projected gradient with momentum over the sparse columns) finds repeat counts;
-   they are rounded within the histogram, largest first, and once more over what is left.
+   pairs and triples of present lengths that fill a window exactly are enumerated, and quadruples of the
+   ``QUADRUPLE_LENGTHS`` most frequent lengths (a limit of the plan, not of the rows). Non-negative least squares, solved
+   to its optimality conditions by Newton steps on the dual, finds repeat counts; they are rounded within the histogram,
+   largest first, and once more over what is left.
 3. Each remainder gets a rank among those of its length: rows are counted by length and block of rows, and numbered
    inside, so that a frequent length is spread over many tasks. Rank and repeat counts give sequence and offset.
 4. Remainders beyond the counts are the residuals. They are packed greedily in order: each follows the last, and is cut
-   where a window ends. So only the last sequence is padded.
+   where a window ends. So only the last sequence is padded. Ranking moves row numbers and lengths; ids are read again
+   for the residuals alone.
 
-Defined results: a null or empty text is one piece that holds the id 0 alone. Rows with the same id, or none, are
-documents of their own. An empty table gives no row. Columns other than the named ones are not read.
+Defined results: a null or empty text is one piece that holds the id 0 alone. A very long text is as many windows as it
+fills, and a remainder. Rows with the same id, or none, are documents of their own. An empty table gives no row. Columns
+other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -98,34 +101,59 @@ def combinations(counts: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 4), dtype=int)
 
 
-def repeat_counts(counts: np.ndarray, columns: np.ndarray, steps: int = 300) -> np.ndarray:
-    """x >= 0 that makes columns * x closest to the histogram, by projected gradient with momentum."""
-    size = len(counts)
+def repeat_counts(counts: np.ndarray, columns: np.ndarray, ridge: float = 1e-5, steps: int = 200) -> np.ndarray:
+    """x >= 0 that makes columns * x closest to the histogram: non-negative least squares, solved to optimality.
+
+    There are far more columns than lengths, so many x are equally close; a small ridge picks the one that spreads most.
+    With it, x = max(0, A'r) / ridge for the residual r, and r solves r + A x = counts: as many unknowns as lengths. Newton
+    steps with a line search on the convex dual find it; see optimality for the conditions that hold at the end.
+    """
+    size, target = len(counts), counts.astype(float)
+    scale = max(1.0, float(target.max(initial=0)))
+    target /= scale
     used = (columns > 0).astype(float)
 
-    def forward(x):
-        return np.bincount(columns.ravel(), (used * x[:, None]).ravel(), minlength=size)
-
-    def back(r):
-        return (r[columns] * used).sum(axis=1)
-
-    v = np.ones(len(columns))
-    for _ in range(12):
-        v = back(forward(v))
-        top = np.linalg.norm(v)
-        v /= top
-    step = 0.95 / top
-    x = y = np.zeros(len(columns))
-    t = 1.0
-    target = counts.astype(float)
+    def reach(r):
+        return np.maximum(0, (r[columns] * used).sum(axis=1))
+
+    def value(r, y):
+        return r @ r / 2 + y @ y / (2 * ridge) - target @ r
+
+    r = np.zeros(size)
+    y = reach(r)
     for _ in range(steps):
-        new = np.maximum(0, y - step * back(forward(y) - target))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t2 * (new - x)
-        if (y - new) @ (new - x) < 0:
-            y, t2 = new, 1.0
-        x, t = new, t2
-    return x
+        slope = r + np.bincount(columns.ravel(), (used * y[:, None]).ravel(), minlength=size) / ridge - target
+        if np.abs(slope).max() < 1e-9:
+            break
+        # Columns at the edge count as active in the first step, where all are.
+        active = columns[y > 0] if y.any() else columns
+        on = (active > 0).astype(float)
+        pairs = active[:, :, None] * size + active[:, None, :]
+        hessian = np.bincount(pairs.ravel(), (on[:, :, None] * on[:, None, :]).ravel(), minlength=size * size).reshape(size, size) / ridge
+        hessian[np.diag_indices(size)] += 1
+        go = -np.linalg.solve(hessian, slope)
+        step, now = 1.0, value(r, y)
+        while step > 1e-12:
+            new = r + step * go
+            y_new = reach(new)
+            if value(new, y_new) <= now + 1e-4 * step * (slope @ go):
+                break
+            step /= 2
+        else:
+            break
+        r, y = new, y_new
+    return y * (scale / ridge)
+
+
+def optimality(counts: np.ndarray, columns: np.ndarray, x: np.ndarray) -> tuple[float, float, float]:
+    """Of the problem without a ridge: the distance, the most negative slope, and the steepest slope where x > 0.
+
+    At the optimum no slope is negative, and none is steep where x > 0.
+    """
+    used = (columns > 0).astype(float)
+    miss = np.bincount(columns.ravel(), (used * x[:, None]).ravel(), minlength=len(counts)) - counts
+    slope = (miss[columns] * used).sum(axis=1)
+    return float(np.linalg.norm(miss)), float(min(0, slope.min(initial=0))), float(np.abs(slope[x > 0]).max(initial=0))
 
 
 def rounded(counts: np.ndarray, columns: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -224,21 +252,22 @@ def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None) ->
     shared = spark.sparkContext.broadcast(plan)
 
     before = by_block.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
-    ranked = rest.join(before.hint("shuffle_merge"), ["length", "block"]).withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("uid")) - 1 + F.col("before"))
-    columns = ["doc_id", "start", "length", "crc", "doc_tokens", "ids", "uid", "rank"]
+    ranked = rest.drop("ids").join(before.hint("shuffle_merge"), ["length", "block"]).withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("uid")) - 1 + F.col("before"))
+    columns = ["doc_id", "start", "length", "crc", "doc_tokens", "uid", "rank"]
     schema = ranked.select(*columns[:-1]).schema.add("sequence", "long").add("offset", "long")
 
     def place(batch):
-        sequence, offset = shared.value.place(np.asarray(batch.column(2)), np.asarray(batch.column(7)))
-        ids = pa.array([x if s < 0 else None for x, s in zip(batch.column(5).to_pylist(), sequence, strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[:5], ids, batch.column(6), pa.array(sequence), pa.array(offset)], names=schema.names)
+        sequence, offset = shared.value.place(np.asarray(batch.column(2)), np.asarray(batch.column(6)))
+        return pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sequence), pa.array(offset)], names=schema.names)
 
     placed = kept(map_batches(gathered(ranked, documents), columns, schema, place), "placed")
-    residual = placed.where(F.col("sequence") < 0).withColumn("block", F.shiftright("uid", 33))
+    residual = placed.where(F.col("sequence") < 0).select("doc_id", "start", "length", "doc_tokens", "uid", F.shiftright("uid", 33).alias("block"))
     # One row for each block of rows: the window over all of them sees counts only.
     sums = residual.groupBy("block").agg(F.sum("length").alias("n"))
     sums = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
     laid = residual.join(sums, "block").withColumn("at", F.sum("length").over(Window.partitionBy("block").orderBy("uid")) - F.col("length") + F.col("before"))
+    # Written, so that Spark knows its size: if it is under the session's threshold, the ids are not shuffled.
+    laid = kept(laid.select("doc_id", "start", "doc_tokens", "uid", "at"), "residual", documents).join(made.select("uid", "ids"), "uid")
     columns = ["doc_id", "start", "doc_tokens", "ids", "at"]
     out_schema = "doc_id " + id_type + ", start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
