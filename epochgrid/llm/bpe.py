@@ -14,7 +14,7 @@ character until its next bytes come and puts U+FFFD for impossible ones.
 Texts that spell an added token of the vocabulary file get that token, as the public library does.
 
 Defined results: a null text is an empty text; it has no tokens, and the digests of no bytes. Rows are encoded one by
-one, so ids may be null or repeat. Columns other than the named ones are not read.
+one, so ids may be null or repeat. An empty table gives no row. Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -201,10 +201,16 @@ class Encoder:
         self.buffer, self.run, self.kind = "", None, None
 
     def encode(self, text: str) -> bytes:
+        return b"".join(self.stream(text))
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The tokens of a text, some for each slice."""
         if len(text) <= SLICE:
-            return self.feed(text, last=True)
-        parts = [self.feed(text[i : i + SLICE]) for i in range(0, len(text), SLICE)]
-        return b"".join([*parts, self.finish()])
+            yield self.feed(text, last=True)
+            return
+        for i in range(0, len(text), SLICE):
+            yield self.feed(text[i : i + SLICE])
+        yield self.finish()
 
     def finish(self) -> bytes:
         return self.feed("", last=True)
@@ -313,13 +319,15 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
         enc = encoder(path)
         n, first, second = [], [], []
         for text in batch.column(1):
-            ids = enc.encode(text.as_py() or "")
-            back = hashlib.sha256()
-            for part in Decoder(enc.merges).texts(ids):
-                back.update(part.encode())
-            n.append(len(ids) // 4)
-            first.append(hashlib.sha256(ids).hexdigest())
-            second.append(back.hexdigest())
+            count, ids_digest, text_digest, back = 0, hashlib.sha256(), hashlib.sha256(), Decoder(enc.merges)
+            for ids in enc.stream(text.as_py() or ""):  # tokens are digested, decoded and forgotten as they come
+                count += len(ids) // 4
+                ids_digest.update(ids)
+                text_digest.update(back.feed(np.frombuffer(ids, "<u4").tolist()).encode())
+            text_digest.update(back.finish().encode())
+            n.append(count)
+            first.append(ids_digest.hexdigest())
+            second.append(text_digest.hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = documents.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
