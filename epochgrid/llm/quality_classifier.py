@@ -11,7 +11,8 @@ without a shuffle.
 
 Defined results: a null text is an empty text, whose score is that of the bias; a null label or id takes no part in
 fitting; an id with several labels has the smallest; without any labelled row all scores are 0.5. Repeated rows are
-scored one by one. Columns other than the named ones are not read.
+scored one by one. A text of any length is scored whole, in a block of its own. An empty table gives no row. Scoring whole
+rows carries their other columns along unread, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import gathered
-from .text import Block, as_rows, blocks, map_batches, span_hashes, sums, texts_of, window_hashes
+from .text import Block, as_rows, blocks, float_sums, map_batches, span_hashes, texts_of, window_hashes
 
 BITS = 18
 #: Labelled rows that are read for fitting.
@@ -61,11 +62,11 @@ def vectors(texts: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.nda
 
 
 def dots(texts: list[str], weights: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The dot products of all the texts' vectors with the weights."""
+    """The dot products of all the texts' vectors with the weights; each is the same in whatever company."""
     out = np.zeros(len(texts))
     a, a_first, b, b_first = _features(texts, bits)
     for x, first in ((a, a_first), (b, b_first)):
-        out += sums(weights[x], first) / np.maximum(1, np.diff(first))
+        out += float_sums(weights[x], first) / np.maximum(1, np.diff(first))
     return out
 
 

@@ -125,6 +125,15 @@ def sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return total[firsts[1:]] - total[firsts[:-1]]
 
 
+def float_sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The same for floats: each range is added up by itself, so that a sum does not depend on its neighbours."""
+    out = np.zeros(len(firsts) - 1)
+    some = np.flatnonzero(firsts[1:] > firsts[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, firsts[:-1][some])
+    return out
+
+
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """The texts in runs of about ``BLOCK`` characters, each with the index of its first; a null counts as empty."""
     at, size = 0, 0
