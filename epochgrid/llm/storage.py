@@ -9,13 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir of the session, else the one set on its context.
+
+    Where neither is set, a folder of this machine is used in local mode only; on a cluster that is an error, since
+    executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _LOCAL not in _FOLDERS:
+        _FOLDERS[_LOCAL] = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return _FOLDERS[_LOCAL]
+
+
+_LOCAL = "local"
+#: The folder of this process, made on first use in local mode.
+_FOLDERS: dict[str, str] = {}
 
 
 #: Bytes of input that make a task of their own.
