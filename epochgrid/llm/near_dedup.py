@@ -6,10 +6,10 @@
    the first of these bands. Only classes in a bucket are looked at again, and only their texts are shuffled: a bitmap of
    their fingerprints, of at most ``BITS`` bits whatever the input, lets tasks leave out the others (a few wrongly let
    through go in the join that follows).
-3. If a bucket has ``REPRESENT`` members or more, each member of such buckets is first compared with the representative
-   of its largest one, once, and links found so become parts. Members of one part need not meet again: buckets that lie
-   in one part are done, and in others the members that share the representative's part meet the rest only. So a group of
-   near copies costs as many comparisons as it has members.
+3. If a bucket has ``REPRESENT`` members or more, each member of such buckets is first compared with the ``CENTRES``
+   representatives of its largest one, once, and links found so become parts. Members of one part need not meet again:
+   buckets that lie in one part are done, and in others the members of the largest part meet the rest only. So a group of
+   near copies costs a number of comparisons in proportion to its members.
 4. A bucket whose members exceed ``CELL`` rows or ``CELL_SHINGLES`` shingles is dealt into blocks, and each pair of blocks
    that has anything to compare is a cell; smaller buckets are one cell. So every pair of different parts meets in one cell,
    and no task holds more than a cell.
@@ -48,6 +48,8 @@ CHECKS, BATCH = 256, 32
 CELL, CELL_SHINGLES = 1024, 1 << 21
 #: Members from which a bucket's are compared with its representative first.
 REPRESENT = 256
+#: Representatives of a large bucket, and members that a task compares with them.
+CENTRES, STAR = 8, 256
 #: Most bits of the bitmap of classes in buckets (64 MB).
 BITS = 1 << 29
 #: Edges of the component graph that a task writes.
@@ -168,11 +170,11 @@ class Parts:
         return x != y
 
 
-def cell_links(texts: list[str], blocks_of: np.ndarray, band: int, size: int, percent: int, parts_of: np.ndarray | None = None, star: bool = False) -> list[tuple[int, int]]:
+def cell_links(texts: list[str], blocks_of: np.ndarray, band: int, size: int, percent: int, parts_of: np.ndarray | None = None, star: int = 0) -> list[tuple[int, int]]:
     """Verified links that connect whatever is linked in the cell.
 
     With two blocks, pairs inside one are left out, and so are pairs with one number in parts_of. With star, only pairs
-    with the first text are looked at.
+    with one of so many first texts are looked at, whatever bands they share.
     """
     s = Sets(texts, size)
     n = len(texts)
@@ -181,7 +183,7 @@ def cell_links(texts: list[str], blocks_of: np.ndarray, band: int, size: int, pe
     least = fewest_matches(percent / 100, MISS)
     checks = None
     parts, out = Parts(n), []
-    for i in range(1 if star else n - 1):
+    for i in range(min(star, n - 1) if star else n - 1):
         j = np.arange(i + 1, n)
         a, b = s.sizes[i], s.sizes[j]
         j = j[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
@@ -263,7 +265,7 @@ _PAIR = "a1 long, a2 long, b1 long, b2 long"
 
 
 def verified(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links of all cells. cells: _CELL, block, _a, _b, _part (null: none). A high of -1 marks a star: block 0 is its centre."""
+    """Links of all cells. cells: _CELL, block, _a, _b, _part (null: none). A high of -1 marks a star: its centres are in block 0."""
     dealt = cells.join(texts.hint("shuffle_merge"), ["_a", "_b"]).repartition(*_CELL).sortWithinPartitions(*_CELL)
 
     def verify(batches):
@@ -272,7 +274,7 @@ def verified(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         def done():
             if len(held) > 1:
                 held.sort(key=lambda r: (r[4] if r[3] < 0 else 0, r[5:7]))  # the same order in every retry
-                star = held[0][3] < 0
+                star = sum(r[4] == 0 for r in held) if held[0][3] < 0 else 0
                 parts = None if star or held[0][8] is None else np.unique(np.array([r[8] for r in held]), return_inverse=True)[1]
                 for i, j in cell_links([r[7] for r in held], np.array([0 if star else r[4] for r in held]), held[0][0], size, percent, parts, star):
                     yield held[i][5:7] + held[j][5:7]
@@ -296,16 +298,16 @@ def verified(cells: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def as_edges(pairs: DataFrame) -> DataFrame:
+    """Pairs of classes as edges of components."""
     return pairs.select(F.struct(F.col("a1").alias("a"), F.col("a2").alias("b")).alias("u"), F.struct(F.col("b1").alias("a"), F.col("b2").alias("b")).alias("v"))
 
 
 def links(classes: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of classes (a1, a2, b1, b2) that connect all that is linked. classes: _a, _b, _n, _bands; source: text."""
     rows = classes.select("_a", "_b", "_n", F.posexplode("_bands").alias("band", "key"))
-    least = F.min(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    met = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("_n").alias("shingles"), F.bit_xor("_a").alias("x"), F.bit_xor("_b").alias("y"), least.alias("rep")).where("n > 1")
+    met = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("_n").alias("shingles"), F.bit_xor("_a").alias("x"), F.bit_xor("_b").alias("y")).where("n > 1")
     # The same members in several bands: once, in the first.
-    once = met.groupBy("x", "y", "n").agg(F.min(F.struct("band", "key", "shingles", "rep")).alias("m")).select("m.band", "m.key", "n", "m.shingles", "m.rep")
+    once = met.groupBy("x", "y", "n").agg(F.min(F.struct("band", "key", "shingles")).alias("m")).select("m.band", "m.key", "n", "m.shingles")
     # Written, so that both sides of the join are shuffles of their own, and a bucket of many members is split.
     buckets = kept(once, "buckets", classes)
     members = kept(rows.join(buckets.hint("shuffle_merge"), ["band", "key"]), "members", classes)
@@ -316,30 +318,30 @@ def links(classes: DataFrame, source: DataFrame, size: int, percent: int) -> Dat
         parted = members.withColumns({"wide": wide, "major": F.lit(0).cast("long"), "is_major": F.lit(False), "_part": F.lit(None).cast("string")})
         return verified(dealt_cells(parted), texts, size, percent)
 
-    # Each member of a large bucket against the representative of its largest one.
-    is_rep = (F.col("rep.a") == F.col("_a")) & (F.col("rep.b") == F.col("_b"))
-    home = members.where((F.col("n") >= REPRESENT) & ~is_rep).groupBy("_a", "_b").agg(F.max(F.struct("n", "shingles", "band", "key", "rep")).alias("m"))
-    many = F.greatest(F.ceil(F.col("m.n") / CELL), F.ceil(F.col("m.shingles") / CELL_SHINGLES)).cast("long")
-    home = home.select("m.band", "m.key", F.pmod(F.xxhash64("_a", "_b"), many).alias("low"), F.lit(-1).cast("long").alias("high"), F.lit(1).cast("long").alias("block"), "_a", "_b", "m.rep")
-    centres = home.select(*_CELL, F.lit(0).cast("long").alias("block"), F.col("rep.a").alias("_a"), F.col("rep.b").alias("_b")).distinct()
-    star = home.drop("rep").unionByName(centres).withColumn("_part", F.lit(None).cast("string"))
-    near = kept(verified(star, texts, size, percent), "stars")
+    # Each member of a large bucket against the representatives of its largest one: the smallest of each slice.
+    large = members.where(F.col("n") >= REPRESENT)
+    slices = F.pmod(F.xxhash64(F.lit("centre"), "_a", "_b"), F.lit(CENTRES))
+    centres = large.groupBy("band", "key", slices.alias("slice")).agg(F.min(F.struct("_a", "_b")).alias("c")).select("band", "key", "c.*")
+    home = large.groupBy("_a", "_b").agg(F.max(F.struct("n", "shingles", "band", "key")).alias("m"))
+    many = F.greatest(F.ceil(F.col("m.n") / STAR), F.ceil(F.col("m.shingles") / CELL_SHINGLES)).cast("long")
+    home = kept(home.select("m.band", "m.key", F.pmod(F.xxhash64("_a", "_b"), many).alias("low"), F.lit(-1).cast("long").alias("high"), F.lit(1).cast("long").alias("block"), "_a", "_b"), "home", classes)
+    in_each = home.select(*_CELL).distinct().join(centres.hint("shuffle_merge"), ["band", "key"]).select(*_CELL, F.lit(0).cast("long").alias("block"), "_a", "_b")
+    near = kept(verified(home.unionByName(in_each).withColumn("_part", F.lit(None).cast("string")), texts, size, percent), "stars")
     of = components(as_edges(near), classes).select(F.col("node.a").alias("_a"), F.col("node.b").alias("_b"), F.concat_ws(" ", "root.a", "root.b").alias("root"))
     of = kept(of, "parts")
 
-    # What lies in the part of its bucket's representative meets only what does not.
-    part = lambda a, b: F.coalesce("root", F.concat_ws(" ", a, b))
-    lead = buckets.join(of.select(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("rep"), "root").hint("shuffle_merge"), "rep", "left")
-    lead = lead.select("band", "key", part("rep.a", "rep.b").alias("lead"))
-    parted = members.join(of.hint("shuffle_merge"), ["_a", "_b"], "left").select("band", "key", "n", "shingles", "_a", "_b", "_n", part("_a", "_b").alias("_part"))
-    parted = kept(parted.join(kept(lead, "leads", classes).hint("shuffle_merge"), ["band", "key"]).withColumn("is_major", F.col("_part") == F.col("lead")), "parted", classes)
-    mine = lambda c, major: F.sum(F.when(F.col("is_major") == major, F.col(c)).otherwise(0))
-    sizes = parted.withColumn("one", F.lit(1).cast("long")).groupBy("band", "key").agg(*[mine(c, m).alias(f"{c}_{int(m)}") for c in ("one", "_n") for m in (False, True)]).where("one_0 > 0")
-    count = lambda m: F.greatest(F.ceil(F.col(f"one_{m}") / CELL), F.ceil(F.col(f"_n_{m}") / CELL_SHINGLES)).cast("long")
-    small = (F.col("one_0") + F.col("one_1") <= CELL) & (F.col("_n_0") + F.col("_n_1") <= CELL_SHINGLES)
-    sizes = sizes.select("band", "key", F.when(small, 1).otherwise(count(0)).alias("wide"), F.when(small, 0).otherwise(count(1)).alias("major"))
-    rest = kept(verified(dealt_cells(parted.join(kept(sizes, "sizes", classes).hint("shuffle_merge"), ["band", "key"])), texts, size, percent), "links")
-    return near.unionByName(rest)
+    # What lies in the largest part of its bucket meets only what does not.
+    named = members.join(of.hint("shuffle_merge"), ["_a", "_b"], "left").withColumn("_part", F.coalesce("root", F.concat_ws(" ", "_a", "_b")))
+    named = kept(named.select("band", "key", "_a", "_b", "_n", "_part"), "named", classes)
+    parts = named.groupBy("band", "key", "_part").agg(F.count("*").alias("n"), F.sum("_n").alias("shingles")).groupBy("band", "key")
+    parts = parts.agg(F.max(F.struct("n", "shingles", "_part")).alias("lead"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("lead.n < n")
+    count = lambda n, shingles: F.greatest(F.ceil(n / CELL), F.ceil(shingles / CELL_SHINGLES)).cast("long")
+    n, shingles, lead = F.col("n"), F.col("shingles"), F.col("lead")
+    small = (n <= CELL) & (shingles <= CELL_SHINGLES)
+    wide = F.when(small, 1).otherwise(count(n - lead["n"], shingles - lead["shingles"]))
+    sizes = kept(parts.select("band", "key", lead["_part"].alias("lead"), wide.alias("wide"), F.when(small, 0).otherwise(count(lead["n"], lead["shingles"])).alias("major")), "sizes", classes)
+    parted = named.join(sizes.hint("shuffle_merge"), ["band", "key"]).withColumn("is_major", F.col("_part") == F.col("lead"))
+    return near.unionByName(verified(dealt_cells(parted), texts, size, percent))
 
 
 def dealt_cells(members: DataFrame) -> DataFrame:
