@@ -3,19 +3,23 @@
 1. Rows are dealt evenly into shards of about ``SHARD`` vectors. In each shard a KD-tree is built by median splits of
    the widest dimension, with tight bounding boxes. A shard with its tree is one written row.
 2. The queries of a shard search their own shard first, which gives each a kth score.
-3. Each block of queries then meets every other shard, with its kth scores: an inner product over a box is at most the
-   sum of the larger products with its bounds, so nodes below the kth score are skipped, and leaves are visited from
-   the highest bound down until no bound reaches the kth score, which rises meanwhile.
-4. What reached the kth scores is merged into the k best for each query.
+3. Then rounds: each block of queries visits ``GROWTH`` - 1 times as many further shards as it has visited. Between rounds
+   the k best of each query are merged, and the kth score that all visited shards give together goes on to the next ones,
+   which return only what reaches it. A shard visited after v others has on average k / v rows that do, so that answers
+   grow with the logarithm of the number of shards.
+4. In a tree, the inner product with any vector of a box is at most the sum of the larger products with its bounds. Nodes
+   below the kth score are skipped. A child's bound is never above its parent's, so going through the leaves that are left
+   from the highest bound down is the order of a best-first traversal; the kth score rises meanwhile, and the search ends
+   at the first leaf that does not reach it.
 
 A block and a shard have bounded sizes, whatever the input; the work is queries times rows, less what is pruned.
 
 Defined results: components become floor(scale * x) in double; vectors that are null, or that hold a null, NaN or
 infinite component (or one that is infinite after scaling), take no part, and neither do null ids. Shorter vectors
-count as filled up with zeros. Products are exact: in float32 or float64 where sums fit, else in whole numbers; a score
-outside the range of a long becomes the nearest long. Ties go to the smaller id. Repeated rows are rows of their own:
-each is a query, and all but the query's own row are candidates; equal query ids are ranked apart. Columns other than
-the named ones are not read.
+count as filled up with zeros, and vectors of any length are compared whole. Products are exact: in float32 or float64
+where sums fit, else in whole numbers; a score outside the range of a long becomes the nearest long. Ties go to the smaller
+id. Repeated rows are rows of their own: each is a query, and all but the query's own row are candidates; equal query ids
+are ranked apart. An empty table gives no row. Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from .storage import gathered, kept
 
 SHARD = 8192
 LEAF = 256
+#: By how much a round multiplies the shards that a block has visited.
+GROWTH = 3
+#: For a query with fewer than k answers.
+NO_SCORE = -(1 << 63)
 _SHARD_SCHEMA = "shard long, n long, dim long, depth long, ids binary, vectors binary, lows binary, highs binary, cuts binary"
 
 
@@ -73,32 +81,34 @@ class Tree:
             keep = np.ones(len(q), dtype=bool) if own is None else own[q] != r
             return q[keep], r[keep], np.zeros(int(keep.sum()))
         low, high = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) for x in (self.lows, self.highs))
-        most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * dim
-        if most >= 2**53:
-            return _exact(queries, vectors, own, k)
-        kind = np.float32 if most < 2**24 and max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)) < 2**24 else np.float64
-        up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-        queries, vectors = queries.astype(kind), vectors.astype(kind)
-        low, high = np.where(np.isfinite(low), low, 0).astype(kind), np.where(np.isfinite(high), high, 0).astype(kind)
-        kth = kth.astype(np.float64).copy()
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * dim
+        whole = most >= 2**53
+        kind = object if whole else np.float32 if most < 2**24 and max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)) < 2**24 else np.float64
+        as_kind = _whole if whole else (lambda x: x.astype(kind))
+        none = np.array(NO_SCORE - 1 if whole else -np.inf, dtype=object if whole else np.float64)[()]
+        up, down = as_kind(np.maximum(queries, 0)), as_kind(np.minimum(queries, 0))
+        queries, vectors = as_kind(queries), as_kind(vectors)
+        low, high = as_kind(np.where(np.isfinite(low), low, 0)), as_kind(np.where(np.isfinite(high), high, 0))
+        kth = np.array([none if x == NO_SCORE else int(x) if whole else float(x) for x in kth.tolist()], dtype=object if whole else np.float64)
+        kept_kind = object if whole else np.float64
         alive = np.ones((len(queries), 1), dtype=bool)
         for level in range(self.depth + 1):  # down the tree, for all queries at once; a node counts if its box may reach the kth score
             nodes = np.arange((1 << level) - 1, (2 << level) - 1)
             if level:
                 alive = np.repeat(alive, 2, axis=1)
             some = np.flatnonzero(alive.any(axis=0))
-            bound = np.full(alive.shape, -np.inf)
+            bound = np.full(alive.shape, none, dtype=kept_kind)
             bound[:, some] = up @ high[nodes[some]].T + down @ low[nodes[some]].T
-            alive &= bound >= kth[:, None]
-        bound[~alive] = -np.inf
+            alive &= (bound >= kth[:, None]).astype(bool)
+        bound[~alive] = none
         order = np.argsort(-bound, axis=1, kind="stable")
-        best = np.full((len(queries), k), -np.inf)
+        best = np.full((len(queries), k), none, dtype=kept_kind)
         rows = np.arange(len(queries))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for turn in range(order.shape[1]):
             leaf = order[:, turn]
             value = bound[rows, leaf]
-            go = np.flatnonzero((value >= kth) & (value > -np.inf))
+            go = np.flatnonzero((value >= kth) & (value > none))
             if not len(go):
                 break
             go = go[np.argsort(leaf[go], kind="stable")]
@@ -108,33 +118,29 @@ class Tree:
                 q, (a, b) = go[s:e], self.cuts[at[s] : at[s] + 2]
                 if b == a:
                     continue
-                score = (queries[q] @ vectors[a:b].T).astype(np.float64)
+                score = (queries[q] @ vectors[a:b].T).astype(kept_kind)
+                if whole:
+                    score = np.clip(score, -(1 << 63), (1 << 63) - 1)
                 if own is not None:
                     mine = np.flatnonzero((own[q] >= a) & (own[q] < b))
-                    score[mine, own[q][mine] - a] = -np.inf
+                    score[mine, own[q][mine] - a] = none
                 both = np.concatenate([best[q], score], axis=1)
-                both = -np.partition(-both, k - 1, axis=1)[:, :k]
+                both = np.sort(both, axis=1)[:, -k:] if whole else -np.partition(-both, k - 1, axis=1)[:, :k]
                 best[q] = both
                 kth[q] = np.maximum(kth[q], both.min(axis=1))
-                i, j = np.nonzero((score >= kth[q][:, None]) & (score > -np.inf))
+                i, j = np.nonzero(((score >= kth[q][:, None]) & (score > none)).astype(bool))
                 found.append((q[i], a + j, score[i, j]))
         if not found:
             none = np.zeros(0, dtype=np.int64)
             return none, none, np.zeros(0)
         q, r, s = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = s >= kth[q]
-        return q[keep], r[keep], s[keep]
+        keep = (s >= kth[q]).astype(bool)
+        return q[keep], r[keep], s[keep].astype(np.int64) if whole else s[keep]
 
 
-def _exact(queries, vectors, own, k):
-    """Whole numbers of any size, for components whose products do not fit a double."""
-    whole = [[int(x) for x in v] for v in vectors]
-    out = []
-    for q, x in enumerate(queries):
-        x = [int(y) for y in x]
-        out += [(q, r, max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, v, strict=True))))) for r, v in enumerate(whole) if own is None or own[q] != r]
-    q, r, s = zip(*out, strict=True) if out else ((), (), ())
-    return np.array(q, dtype=np.int64), np.array(r, dtype=np.int64), np.array(s, dtype=np.int64)
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Python's whole numbers, for components whose products do not fit a double."""
+    return np.array([int(v) for v in x.ravel().tolist()], dtype=object).reshape(x.shape)
 
 
 def _cut(q, r, s, ids, k):
@@ -187,24 +193,24 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         q, ids, s = hits
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(q), block), places[q], query_ids[q], ids, s)], names=["block", "place", "query_id", "vec_id", "score"])
 
-    def at_home(batches):
+    def queries_of(row):
+        own = np.flatnonzero(row[0] % every == 0)
+        return own, row[0][own], row[1][own]
+
+    def asked(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 t = _tree(row)
-                own = np.flatnonzero(t.ids % every == 0)
-                hits = _cut(*t.search(t.vectors[own], k, np.full(len(own), -np.inf), own), t.ids, k)
-                kth = np.full(len(own), -np.inf)
-                full = np.bincount(hits[0], minlength=len(own)) >= k
-                worst = np.full(len(own), np.inf)
-                np.minimum.at(worst, hits[0], hits[2].astype(np.float64))
-                kth[full] = worst[full]
+                own, ids, vectors = queries_of((t.ids, t.vectors))
                 g = lambda x, t: pa.array([np.ascontiguousarray(x, dtype=t).tobytes()], pa.binary())
-                a = answers(row["shard"], own, t.ids[own], hits)
-                one = pa.StructArray.from_arrays(a.columns, names=a.schema.names)
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([row["dim"]], pa.int64()), g(own, "<i8"), g(t.ids[own], "<i8"), g(t.vectors[own], "<f8"), g(kth, "<f8"), pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)], names=["block", "qdim", "places", "query_ids", "queries", "kth", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([row["dim"]], pa.int64()), g(own, "<i8"), g(ids, "<i8"), g(vectors, "<f8")], names=["block", "qdim", "places", "query_ids", "queries"])
 
-    blocks = kept(trees.mapInArrow(at_home, f"block long, qdim long, places binary, query_ids binary, queries binary, kth binary, home array<struct<{found.replace(' long', ': long')}>>"), "queries")
-    first = blocks.select(F.inline("home"))
+    def at_home(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = _tree(row)
+                own, ids, vectors = queries_of((t.ids, t.vectors))
+                yield answers(row["shard"], own, ids, _cut(*t.search(vectors, k, np.full(len(own), NO_SCORE), own), t.ids, k))
 
     def away(batches):
         last, t = None, None
@@ -214,12 +220,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                     last, t = row["shard"], _tree(row)
                 ids, places = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["places"], "<i8")
                 q = np.frombuffer(row["queries"], "<f8").reshape(len(ids), -1) if row["qdim"] else np.zeros((len(ids), 0))
-                yield answers(row["block"], places, ids, _cut(*t.search(q, k, np.frombuffer(row["kth"], "<f8")), t.ids, k))
+                known = {x["place"]: x["kth"] for x in row["known"] or ()}
+                kth = np.array([known.get(x, NO_SCORE) for x in places.tolist()], dtype=np.int64)
+                yield answers(row["block"], places, ids, _cut(*t.search(q, k, kth), t.ids, k))
 
-    met = blocks.drop("home").where(F.length("query_ids") > 0).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("block != shard")
-    second = met.join(trees.hint("shuffle_merge"), "shard").mapInArrow(away, found)
     best = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
-    return gathered(first.unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), vectors)
+    ranked = trees.mapInArrow(at_home, found).withColumn("rank", F.row_number().over(best))
+    if shards > 1:
+        blocks = kept(trees.mapInArrow(asked, "block long, qdim long, places binary, query_ids binary, queries binary").where(F.length("query_ids") > 0), "queries")
+    seen = 1
+    while seen < shards:
+        until = min(shards, seen * GROWTH)
+        ranked = kept(ranked, "best")
+        # A row for each block: its queries' kth scores, of those that have k answers.
+        kth = ranked.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("place", F.col("score").alias("kth"))).alias("known"))
+        turn = F.explode(F.sequence(F.lit(seen).cast("long"), F.lit(until - 1).cast("long")))
+        met = blocks.join(kth.hint("shuffle_merge"), "block", "left").withColumn("turn", turn).withColumn("shard", F.pmod(F.col("block") + F.col("turn"), F.lit(shards).cast("long"))).drop("turn")
+        new = met.join(trees.hint("shuffle_merge"), "shard").mapInArrow(away, found)
+        ranked = ranked.drop("rank").unionByName(new).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        seen = until
+    return gathered(ranked.select("query_id", "rank", "vec_id", "score"), vectors)
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,40 @@ def test_more_shards_than_tasks(spark):
         assert [got[(q, 1)], got[(q, 2)]] == scores[:2]
 
 
+def test_whole_numbers_prune_too():
+    """Products beyond a double: boxes and kth scores still leave most leaves out, and scores are exact."""
+    r = np.random.default_rng(6)
+    x = np.floor((r.normal(size=(6, 5))[r.integers(0, 6, 600)] * 100 + r.normal(size=(600, 5))) * 1e6)
+    t = topk_search.Tree.build(np.arange(600), x, leaf=20)
+    q, rows, s = t.search(t.vectors[:8], 3, np.full(8, topk_search.NO_SCORE))
+    assert len(q) < 8 * 300
+    z = [[int(c) for c in v] for v in t.vectors]
+    for i in range(8):
+        every = sorted((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(z[i], v, strict=True)))) for v in z), reverse=True)
+        assert sorted(s[q == i].tolist(), reverse=True)[:3] == every[:3]
+
+
+def test_later_shards_answer_less(spark):
+    """With the kth score of all shards before, answers stay below a k for each query and shard."""
+    r = np.random.default_rng(12)
+    x = r.integers(-500, 500, size=(4000, 6)) / 64
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    known = {}
+    for s in range(20):  # the shards one after another, as the rounds do with groups of them
+        t = topk_search.Tree.build(np.arange(200 * s, 200 * s + 200), np.floor(64 * x[200 * s : 200 * s + 200]), leaf=16)
+        hits = topk_search._cut(*t.search(np.floor(64 * x[:50]), 10, np.array([known.get(i, [topk_search.NO_SCORE])[-1] for i in range(50)])), t.ids, 10)
+        for i in range(50):
+            known[i] = sorted([*known.get(i, []), *hits[2][hits[0] == i].tolist()], reverse=True)[:10]
+        if s == 19:
+            assert len(hits[0]) < 50 * 3
+    got = topk_search.top_k(df, k=10, shard=200).where("query_id < 50").collect()
+    z = np.floor(64 * x)
+    for q in (0, 20, 40):
+        scores = z @ z[q]
+        want = sorted(((-int(v), i) for i, v in enumerate(scores) if i != q))[:10]
+        assert sorted((-a.score, a.vec_id) for a in got if a.query_id == q) == want
+
+
 def test_boxes_are_tight_and_prune():
     r = np.random.default_rng(5)
     x = np.floor(r.normal(size=(8, 16))[r.integers(0, 8, 4000)] * 640 + r.normal(size=(4000, 16)) * 8)
@@ -120,7 +154,7 @@ def test_boxes_are_tight_and_prune():
     first = (1 << t.depth) - 1
     for i, (a, b) in enumerate(zip(t.cuts[:-1], t.cuts[1:], strict=True)):
         assert (t.lows[first + i] == t.vectors[a:b].min(axis=0)).all() and (t.highs[first + i] == t.vectors[a:b].max(axis=0)).all()
-    q, _, _ = t.search(t.vectors[:50], 5, np.full(50, -np.inf))
+    q, _, _ = t.search(t.vectors[:50], 5, np.full(50, topk_search.NO_SCORE))
     assert len(q) < 50 * 1500
 
 
