@@ -8,7 +8,7 @@ and pages are compared whole, by their 64-bit hash; lines of spaces only are nei
 Near copies are not equal pages, but what they share is not boilerplate either. Lines that are frequent by the count above
 are counted again: pages with more than ``COPY_PERCENT`` percent of their characters in such lines are copies of each
 other for the most part, and all of a host's count as one. A line stays boilerplate if pages with text of their own make
-it so. So a host whose pages nearly all hold less text than their frame keeps its frame; the SQL lacks the second count.
+it so. So a host whose pages nearly all hold less text than their frame keeps its frame.
 
 Counting shuffles hashes, made distinct and summed before the shuffle, so that neither a host nor a line that holds a
 third of all rows meets in one task. A host has at most (lines per page) * 100 / ``BOILERPLATE_PERCENT`` boilerplate lines on average;
@@ -104,8 +104,15 @@ ORACLE_SQL = {
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, text FROM documents),
 l AS (SELECT row, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY host),
+p AS (SELECT host, text, min(row) AS row FROM d GROUP BY host, text),
+c AS (SELECT l.host, l.text, l.line FROM l JOIN p ON p.row = l.row WHERE trim(l.line) <> ''),
+f AS (
+  SELECT x.host, x.line FROM (SELECT DISTINCT host, text, line FROM c) x JOIN t ON t.host = x.host
+  GROUP BY x.host, x.line, t.pages HAVING count(*) >= {MIN_PAGES} AND count(*) * 100 > t.pages * {BOILERPLATE_PERCENT}
+),
+o AS (SELECT c.host, c.text, CASE WHEN 100 * coalesce(sum(length(c.line)) FILTER (f.line IS NOT NULL), 0) <= {COPY_PERCENT} * sum(length(c.line)) THEN c.text END AS page FROM c LEFT JOIN f ON f.host = c.host AND f.line = c.line GROUP BY c.host, c.text),
 b AS (
-  SELECT x.host, x.line FROM (SELECT DISTINCT host, text, line FROM l WHERE trim(line) <> '') x JOIN t ON t.host = x.host
+  SELECT x.host, x.line FROM (SELECT DISTINCT c.host, o.page, c.line FROM c JOIN f ON f.host = c.host AND f.line = c.line JOIN o ON o.host = c.host AND o.text = c.text) x JOIN t ON t.host = x.host
   GROUP BY x.host, x.line, t.pages HAVING count(*) >= {MIN_PAGES} AND count(*) * 100 > t.pages * {BOILERPLATE_PERCENT}
 ),
 k AS (SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON b.host = l.host AND b.line = l.line),

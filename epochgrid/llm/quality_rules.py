@@ -10,11 +10,11 @@ one of the lengths exceeds its limit in ``MAX_COVERAGE``. These limits leave roo
 same header and footer line twice, which covers up to 43 % of their characters. So repeated lines that make a run of at
 most ``RUN_WORDS`` words are left to the line limit, and the rest of the text is held against ``MAX_PASSAGES``: its limits
 fall with the length, so that each length rejects texts of its own. A block of many lines that stands twice is a longer
-run, and counts. The SQL has ``MAX_COVERAGE`` only.
+run, and counts.
 
 Defined results: a null or empty text has no words, so it fails the base rules (fewer than ``MIN_WORDS`` words). Rows
-are judged one by one, so ids may be null or repeat. Equality of windows is equality of 64-bit hashes, equality of
-lines is exact. A very long text is one block; it takes about 60 bytes of memory for each word.
+are judged one by one, so ids may be null or repeat. An empty table gives no row. Equality of windows is equality of 64-bit
+hashes, equality of lines is exact. A very long text is one block; it takes up to 230 bytes of memory for each word.
 """
 
 from __future__ import annotations
@@ -172,8 +172,8 @@ win_{size} AS (
   SELECT row, pos, count(*) OVER (PARTITION BY row, key) AS n
   FROM (SELECT row, pos, array_to_string(words[pos + 1 : pos + {size}], ' ') AS key FROM (SELECT row, words, unnest(range(len(words) - {size - 1})) AS pos FROM split WHERE len(words) >= {size}))
 ), rep_{size} AS (
-  SELECT c.row, count(*) AS words, sum(length(w.word)) AS chars
-  FROM (SELECT DISTINCT row, unnest(range(pos, pos + {size})) AS pos FROM win_{size} WHERE n > 1) c JOIN w ON w.row = c.row AND w.pos = c.pos GROUP BY c.row
+  SELECT c.row, count(*) AS words, sum(length(w.word)) AS chars, sum(length(w.word)) FILTER (o.pos IS NULL) AS body
+  FROM (SELECT DISTINCT row, unnest(range(pos, pos + {size})) AS pos FROM win_{size} WHERE n > 1) c JOIN w ON w.row = c.row AND w.pos = c.pos LEFT JOIN outside o ON o.row = c.row AND o.pos = c.pos GROUP BY c.row
 )"""
 
 
@@ -186,14 +186,20 @@ w AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS pos FROM s
 n AS (SELECT row, count(*) AS n_words, sum(length(word)) AS chars FROM w GROUP BY row),
 lines AS (SELECT row, line, row_number() OVER (PARTITION BY row, line ORDER BY pos) AS nth FROM (SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 again AS (SELECT row, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM lines WHERE nth > 1 GROUP BY row),
+wl AS (SELECT row, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, count(*) OVER (PARTITION BY row, line) > 1 AS twice FROM (SELECT row, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+turns AS (SELECT *, sum(n) OVER (PARTITION BY row ORDER BY pos) - n AS beg, CASE WHEN twice = lag(twice) OVER (PARTITION BY row ORDER BY pos) THEN 0 ELSE 1 END AS turn FROM wl),
+runs AS (SELECT row, min(beg) AS a, max(beg + n) AS b FROM (SELECT *, sum(turn) OVER (PARTITION BY row ORDER BY pos) AS run FROM turns) WHERE twice GROUP BY row, run HAVING max(beg + n) - min(beg) <= {RUN_WORDS}),
+outside AS (SELECT row, unnest(range(CAST(a AS BIGINT), CAST(b AS BIGINT))) AS pos FROM runs),
+gone AS (SELECT o.row, sum(length(w.word)) AS chars FROM outside o JOIN w ON w.row = o.row AND w.pos = o.pos GROUP BY o.row),
 {",".join(_repeats_sql(n) for n in _SIZES)},
 m AS (
   SELECT d.doc_id, CAST(coalesce(n.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n.chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(again.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep_3.words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(again.chars, 0) AS DOUBLE) / greatest(1, coalesce(n.chars, 0)) AS line_coverage,
     {", ".join(f"CAST(coalesce(rep_{k}.chars, 0) AS DOUBLE) / greatest(1, coalesce(n.chars, 0)) AS coverage_{k}, coalesce(rep_{k}.chars, 0) <= CAST({most} AS DOUBLE) * greatest(1, coalesce(n.chars, 0)) AS ok_{k}" for k, most in MAX_COVERAGE.items())},
+    {" AND ".join(f"coalesce(rep_{k}.body, 0) <= CAST({most} AS DOUBLE) * (coalesce(n.chars, 0) - coalesce(gone.chars, 0))" for k, most in MAX_PASSAGES.items())} AS ok_passages,
     coalesce(again.chars, 0) <= CAST({MAX_LINE_COVERAGE} AS DOUBLE) * greatest(1, coalesce(n.chars, 0)) AS ok_lines
-  FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN again ON again.row = d.row {" ".join(f"LEFT JOIN rep_{k} ON rep_{k}.row = d.row" for k in _SIZES)}
+  FROM d LEFT JOIN n ON n.row = d.row LEFT JOIN again ON again.row = d.row LEFT JOIN gone ON gone.row = d.row {" ".join(f"LEFT JOIN rep_{k} ON rep_{k}.row = d.row" for k in _SIZES)}
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE} AS base_failed, NOT ({_BASE}) AND ok_lines AND {" AND ".join(f"ok_{k}" for k in MAX_COVERAGE)} AS kept, line_coverage, {", ".join(f"coverage_{k}" for k in MAX_COVERAGE)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE} AS base_failed, NOT ({_BASE}) AND ok_lines AND ok_passages AND {" AND ".join(f"ok_{k}" for k in MAX_COVERAGE)} AS kept, line_coverage, {", ".join(f"coverage_{k}" for k in MAX_COVERAGE)}
 FROM m"""
 }

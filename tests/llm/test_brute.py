@@ -182,6 +182,63 @@ def test_templates_without_markers(spark):
     assert got[3] == "Story 3 begins" and got[99] == "Home of all things\nStory 99 begins\nShared words\nImprint of the site"
 
 
+def words_of(text):
+    return Counter(text.split())
+
+
+def test_template_step_alone(spark, monkeypatch):
+    """Without the lists of tags, classes and roles, and without regard to article elements: what the templates take away."""
+    monkeypatch.setattr(html_extract, "_judge", lambda tag, attributes, inside: (2 if tag in ("script", "style", "head", "title") else 0, False, ""))
+    monkeypatch.setattr(html_extract, "LONG", 1 << 60)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    host = lambda r: re.sub(r"^[^:]*://", "", r.url or "").split("/")[0]
+    of, count = Counter(map(host, pages)), Counter()
+    trees = {r.page_id: html_extract.parse(r.html) for r in pages}
+    for r in pages:
+        count.update((host(r), h) for h in {h for own in html_extract.subtree_hashes(trees[r.page_id]).values() for h in own})
+    least = lambda h, n: max(html_extract.MIN_PAGES, min(html_extract.PLAIN_SHARE * n, html_extract.PLAIN_MANY) if h & 1 else min(html_extract.MIN_SHARE * n, html_extract.MANY_PAGES))
+    found = defaultdict(set)
+    for (name, h), n in count.items():
+        if n >= least(h, of[name]):
+            found[name].add(h)
+    right, kept_words, article_words, before, after = 0, 0, 0, 0, 0
+    for r in pages:
+        want = words_of(article(r.html))
+        plain, cut = (words_of(html_extract.extract(trees[r.page_id], t)) for t in (frozenset(), frozenset(found[host(r)])))
+        right += sum((cut & want).values())
+        kept_words += sum(cut.values())
+        article_words += sum(want.values())
+        before += sum((plain - want).values())
+        after += sum((cut - want).values())
+    print(f"precision {right / kept_words:.4f}, recall {right / article_words:.4f}; words outside of articles {before} before, {after} after")
+    assert right >= 0.99 * article_words and after < 0.5 * before
+
+
+def test_menus_with_other_links_recur(spark):
+    page = "<div class=x><ul>{menu}</ul></div><div><p>Story {i} of many words</p><p><a href=/>link</a> and text around it</p></div><footer><span>Seen {i} times</span></footer>"
+    menu = lambda i: "".join(f"<li><a href=/{i}{k}>go {i * k}</a>" for k in range(2 + i % 5))
+    rows = [(i, "http://a.com/", page.format(menu=menu(i), i=i)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} of many words" for i in range(20)}
+
+
+@pytest.mark.parametrize("kind", ["<b>{}</i>", "<i><div><b>{}</i>", "<p>{}</p>", "<li>{}<td>", "<ul><li>{}</b>", "<table>{}</td>"])
+def test_parsing_is_linear_on_unbalanced_tags(kind):
+    import time
+
+    def took(n):
+        start, end = kind.split("{}")
+        source = start * n + "x" + end * n
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            html_extract.extract(html_extract.parse(source))
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(16_000) < 20 * max(took(2_000), 0.005)
+
+
 PAGE = """<!doctype html><html><head><title>no</title><style>p{}</style></head><body class="page"><div id=masthead>Site</div><NAV><ul><li>Home</ul></NAV><div class="cookie-notice">We use cookies</div>
 <aside>Side</aside><main><header><h1>The &lt;Title&gt;</h1></header><p>One&nbsp;two\n  three<p>Four <i>fi</i>ve<script>"</p>"</script><div class="ad-banner">Buy</div><ul><li>x<li>y</ul><form>Mail <input></form><section class="comments"><p>First!</p></section></main><footer>&copy;"""
 
@@ -297,6 +354,26 @@ def test_lines_of_one_site_only(spark):
     assert got[5] == ("body 5", 3, 2) and got[100] == ("header s0\nrest 0", 2, 0)
 
 
+def test_line_dedup_sql_on_near_copies(spark):
+    """A group of near copies, a frame, and a host whose pages are mostly frame: the SQL has both counts."""
+    import duckdb
+
+    r = random.Random(3)
+    rows = [(i, "\n".join(["the frame", *[f"copied line {k}" if k != i % 9 else f"own {i}" for k in range(9)]]), "a") for i in range(30)]
+    rows += [(100 + i, f"the frame\nnews {r.randrange(9**9)} and {r.randrange(9**9)}\n\nthe end", "a") for i in range(60)]
+    rows += [(200 + i, f"menu of the site\n{i}\nlong footer of the site", "b") for i in range(20)] + [(300, None, "a"), (301, "", None), (302, "the frame", "a")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.sql(line_dedup.ORACLE_SQL["op5_line_dedup"]).fetchall()
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = [tuple(x) for x in got.select("row.doc_id", "cleaned", "n_lines", "n_dropped").collect()]
+    key = lambda x: x[0]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    by_id = {x[0]: x[1] for x in got}
+    assert by_id[0].startswith("own 0\ncopied line 1") and by_id[100].startswith("news")
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -503,6 +580,19 @@ def brute_rules(text):
     base = len(words) < 50 or 100 * repeated > 50 * len(words)
     kept = not base and sum(len(w) for line in again for w in SPACES.findall(line)) <= quality_rules.MAX_LINE_COVERAGE * chars
     kept = kept and all(sum(len(words[j]) for j in covered(n)) <= most * chars for n, most in quality_rules.MAX_COVERAGE.items())
+    # Words outside of short runs of repeated lines.
+    body, run, at = set(), [], 0
+    for line in [x for x in text.split("\n") if SPACES.search(x)] + [None]:
+        own = [] if line is None else list(range(at, at := at + len(SPACES.findall(line))))
+        if line is not None and line in again:
+            run += own
+            continue
+        if len(run) > quality_rules.RUN_WORDS:
+            body.update(run)
+        run = []
+        body.update(own)
+    size = sum(len(words[j]) for j in body)
+    kept = kept and all(sum(len(words[j]) for j in covered(n) & body) <= most * size for n, most in quality_rules.MAX_PASSAGES.items())
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(again), repeated, base, kept
 
 
@@ -517,9 +607,34 @@ def test_rules_on_made_texts():
     r = random.Random(6)
     made = [" ".join(r.choice("ab cd é\n| # x\t\n").strip(" ") + str(r.randrange(k)) for _ in range(r.randrange(300))) for k in (2, 20, 2000) for _ in range(40)]
     made += ["\n".join([" ".join(f"w{i}" for i in range(60))] * k) for k in (1, 2, 5)] + ["\n".join(["same line here"] * 9 + [" ".join(f"u{i}" for i in range(90))])]
+    for size, times in ((5, 12), (8, 6), (12, 2), (60, 2)):  # passages among other words and lines, some of these twice
+        for tail in ("", "\nhead line\nfoot line here", "\n" + "\n".join(f"line {i} of a block" for i in range(15))):
+            passage = " ".join(f"p{i}" for i in range(size))
+            made.append(" ".join(f"{passage} x{r.randrange(9**9)} y{r.randrange(9**9)}" for _ in range(times)) + " " + " ".join(f"v{r.randrange(9**9)}" for _ in range(r.randrange(150, 500))) + 2 * tail)
     for at, part in blocks(made):
         m = quality_rules.measure(part)
         base, kept = quality_rules.verdicts(m)
         for i, t in enumerate(part):
             got = (m["n_words"][i], m["word_chars"][i], m["n_symbols"][i], m["n_dup_lines"][i], m["repeat_words_3"][i], base[i], kept[i])
             assert got == brute_rules(t)
+
+
+def test_rules_sql_on_made_texts(spark):
+    """The SQL on texts that the passages' limits and the line limit reject."""
+    import duckdb
+
+    r = random.Random(16)
+    made = []
+    for size, times in ((5, 12), (8, 6), (12, 3), (60, 2), (3, 2)):
+        for tail in ("", "\nhead line\nfoot line here", "\n" + "\n".join(f"line {i} of a block" for i in range(15))):
+            passage = " ".join(f"p{i}" for i in range(size))
+            made.append(" ".join(f"{passage} x{r.randrange(9**9)}" for _ in range(times)) + " " + " ".join(f"v{r.randrange(9**9)}" for _ in range(r.randrange(60, 400))) + 2 * tail)
+    made += ["", None, "a\n\n \nb", "\n".join(["x y"] * 60)]
+    rows = [(i, t) for i, t in enumerate(made)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(quality_rules.ORACLE_SQL["op10_quality_rules"])
+    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).select(*want.columns).collect()
+    assert sorted(map(tuple, out)) == sorted(want.fetchall())
+    assert {r.kept for r in out if not r.base_failed} == {True, False}
