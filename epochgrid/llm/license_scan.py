@@ -1,11 +1,16 @@
 """License scans: MinHash over overlapping text windows retrieves templates, shingle containment verifies them.
 
-Templates are license notices: short ones, standard headers and full texts (``license_templates``). Their words (letters and digits in lower case) make shingles of ``SHINGLE`` words. Templates
-are put into classes by length; for each class a text is cut into overlapping windows of ``STRIDES`` strides, so that any
-stretch as long as the longest template of the class lies whole in some window. A window whose MinHash signature shares
-a band with a template is a candidate for it. Bands have one row: an exact notice of s shingles in a window of w shares
-one of ``HASHES`` bands with probability 1 - (1 - s / w) ** HASHES, more than 0.9999 for every template given here
-(see ``collision``), and the windows that overlap it raise that.
+Templates are license notices: short ones, standard headers and full texts (``license_templates``). Their words (letters and
+digits in lower case) make shingles of ``SHINGLE`` words. Templates are put into classes by length; for each class a text is
+cut, from its own start, into overlapping windows of ``STRIDES`` + 1 strides, so that any stretch as long as the longest
+template of the class lies whole in some window. A window whose MinHash signature shares a band with a template is a
+candidate for it.
+
+Bands have one row. A window is mostly other text, so that its similarity to a template is about s / w for s shingles in a
+window of w, often 0.4 or less, even if it holds the template whole: bands of r rows would need (w / s) ** (r - 1) times as
+many hashes for the same probability. With one row an exact notice shares one of ``HASHES`` bands with probability
+1 - (1 - s / w) ** HASHES, and a copy that keeps a share c of the shingles with 1 - (1 - c s / w) ** HASHES (see
+``collision``; the least, for a notice of one shingle in a window of five, is 0.9992). Windows that overlap it raise that.
 
 A candidate is verified on its full shingles: it matches where at least ``CONTAINED`` of the template's shingles are in the
 window. Neighbouring windows that match a template are one match; its span is from the first to the last shared shingle.
@@ -16,8 +21,9 @@ changed, left out or put in elsewhere; its containment is then the share of its
 
 Templates and their bands are about 1 MB and go to every task; texts are scanned whole, once, without a shuffle.
 
-Defined results: a null or empty text has no match. Rows are scanned one by one, so ids may be null or repeat. A text
-shorter than a shingle has no match. Columns other than the named ones are not read.
+Defined results: a null or empty text has no match. Rows are scanned one by one, so ids may be null or repeat, and a text's
+matches do not depend on its neighbours. A text shorter than a shingle has no match. An empty table gives no row. Columns
+other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -115,9 +121,19 @@ def _named(words: np.ndarray, firsts: np.ndarray, templates: Templates):
                 yield t, i, p - n_left, p + len(name) + n_right - 1, (n - left - right) / n
 
 
-def collision(shingles: int, width: int) -> float:
-    """Least probability that a window around an exact notice shares a band with it."""
-    return 1 - (1 - shingles / (width + width // STRIDES)) ** HASHES
+def collision(shingles: int, width: int, contained: float = 1.0) -> float:
+    """Least probability that a window around a copy that keeps this share of a notice's shingles shares a band with it."""
+    return 1 - (1 - contained * shingles / (width + max(1, width // STRIDES))) ** HASHES
+
+
+def _segments(firsts: np.ndarray, stride: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, texts, and the number of the last one of its text, of segments of stride shingles of each text."""
+    n = np.maximum(0, np.diff(firsts) - k + 1)
+    many = -(-n // stride)
+    text = np.repeat(np.arange(len(n)), many)
+    ends = np.cumsum(many)
+    within = np.arange(len(text)) - np.repeat(ends - many, many)
+    return firsts[:-1][text] + within * stride, text, np.repeat(ends - 1, many)
 
 
 def scan(texts: list[str], templates: Templates, contained: float = CONTAINED) -> list[list[tuple[int, int, int, float]]]:
@@ -133,36 +149,40 @@ def scan(texts: list[str], templates: Templates, contained: float = CONTAINED) -
     bounds = np.cumsum([0, *(len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts)])
     hit: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
     short, unreal = shingles.astype(np.uint32), np.flatnonzero(~real)
+    if not real.any():
+        return out
     span = STRIDES + 1
-    steps = {width: np.arange(0, len(shingles), max(1, width // STRIDES)) for width in templates.classes}
-    same = {width: np.zeros((len(members), len(steps[width])), dtype=bool) for width, members in templates.classes.items()}
+    # For each class: its segments, those of the class before that make these up, and the segments that a window adds.
+    laid, finer = {}, None
+    for width in templates.classes:
+        begin, text, last = _segments(firsts, max(1, width // STRIDES), k)
+        made_of = begin if finer is None else np.searchsorted(finer, begin)
+        laid[width] = begin, text, made_of, [np.minimum(np.arange(len(begin)) + s, last) for s in range(1, span)]
+        finer = begin
+    same = {width: np.zeros((len(members), len(laid[width][0])), dtype=bool) for width, members in templates.classes.items()}
     for j in range(HASHES):
-        h = (short ^ _XOR[j]) * _TIMES[j]
-        h[unreal] = np.uint32(0xFFFFFFFF)
-        low, finer = h, 1
+        low = (short ^ _XOR[j]) * _TIMES[j]
+        low[unreal] = np.uint32(0xFFFFFFFF)
         for width in templates.classes:
-            stride = max(1, width // STRIDES)
-            if stride > finer:
-                low, finer = np.minimum.reduceat(low, np.arange(0, len(low), stride // finer)), stride
+            _, _, made_of, more = laid[width]
+            low = np.minimum.reduceat(low, made_of)
             window = low.copy()
-            for s in range(1, span):
-                window[:-s] = np.minimum(window[:-s], low[s:])
+            for at in more:
+                np.minimum(window, low[at], out=window)
             same[width] |= window[None, :] == templates.bands[width][:, j, None]
     for width, members in templates.classes.items():
-        stride = max(1, width // STRIDES)
+        begin, text, _, _ = laid[width]
         for m, i in enumerate(members):
             need = templates.sets[i]
             for w in np.flatnonzero(same[width][m]).tolist():
-                a = int(steps[width][w])
-                b = min(len(shingles), a + span * stride)
-                found = real[a:b] & np.isin(shingles[a:b], need)
-                if not found.any():
+                a, t = int(begin[w]), int(text[w])
+                b = min(int(firsts[t + 1]) - k + 1, a + span * max(1, width // STRIDES))
+                at = a + np.flatnonzero(np.isin(shingles[a:b], need))
+                if not len(at):
                     continue
-                for t in np.unique(text_of[a:b][found]).tolist():
-                    at = a + np.flatnonzero(found & (text_of[a:b] == t))
-                    share = len(np.unique(shingles[at])) / len(need)
-                    if share >= contained and (i not in templates.parts or _holds(words[at[0] : at[-1] + k].tolist(), templates.parts[i][1])):
-                        hit.setdefault((t, i), []).append((int(starts[at[0]]), int(ends[at[-1] + k - 1]), share))
+                share = len(np.unique(shingles[at])) / len(need)
+                if share >= contained and (i not in templates.parts or _holds(words[at[0] : at[-1] + k].tolist(), templates.parts[i][1])):
+                    hit.setdefault((t, i), []).append((int(starts[at[0]]), int(ends[at[-1] + k - 1]), share))
     for t, i, first, last, share in _named(words, firsts, templates):
         hit.setdefault((t, i), []).append((int(starts[first]), int(ends[last]), share))
     for (t, i), spans in hit.items():
