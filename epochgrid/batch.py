@@ -10,6 +10,10 @@ from .operators.planning import jobs_and_workers
 from .spec import IngestError, UsageError
 
 
+#: Options of a conversion that go on to every file.
+PASSED = ("resolution", "batch_epochs", "chunk_target_ms", "video_buffer_mib", "audio_tail_tolerance_ms", "decoder_threads")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="epochgrid.batch")
     p.add_argument("files", nargs="+")
@@ -20,14 +24,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-rss-mib", type=int)
     p.add_argument("--skip-existing", action="store_true")
     p.add_argument("--window-sec", type=float)
-    p.add_argument("--resolution", type=int)
+    for name in PASSED:
+        p.add_argument(f"--{name.replace('_', '-')}", type=int)
+    p.add_argument("--no-skip-nonref", dest="skip_nonref", action="store_false", default=None)
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     jobs, workers = jobs_and_workers(len(args.files), args.cores, args.jobs, args.workers_per_file, args.max_rss_mib)
-    options = {k: v for k, v in (("window_sec", args.window_sec), ("resolution", args.resolution), ("video_workers", workers)) if v is not None}
+    options = {k: v for k, v in ((n, getattr(args, n)) for n in ("window_sec", "skip_nonref", *PASSED)) if v is not None}
+    if not options.get("decoder_threads"):
+        options["video_workers"] = workers
     from pyspark.sql import SparkSession
 
     from .sources.ingest import ingest_many

@@ -164,6 +164,8 @@ def hevc_record(data: bytes) -> tuple[int, bytes]:
                 raise ValueError("hvcC")
             out.append(START_CODE + unit)
             at += 2 + n
+    if not out:
+        raise ValueError("hvcC without parameter sets")
     return prefix, b"".join(out)
 
 

@@ -61,9 +61,13 @@ def plan_chunks(samples: DataFrame, target_ms: int, clip: str = "clip_id") -> Da
 
 
 def plan_irap_chunks(samples: DataFrame, target_ms: int, clip: str = "clip_id") -> DataFrame:
-    """The same with random access pictures that are not leading ones, by their own distance in time."""
+    """The same with random access pictures that are not leading ones, by their own distance in time.
+
+    A clip of more than MAX_SAMPLES pictures is an error: this plan is needed for decoding too, so there is no other way.
+    """
     samples = _counted(samples, clip)
-    candidate = F.when(F.col("is_irap") & ~F.col("is_rasl") & (F.col("dec_idx") > 0) & (F.col("_samples") <= MAX_SAMPLES), F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("value")))
+    within = F.when(F.col("_samples") <= MAX_SAMPLES, True).otherwise(F.raise_error(F.format_string("a clip has %s pictures, and at most " + str(MAX_SAMPLES) + " can be planned", "_samples")).cast("boolean"))
+    candidate = F.when(within & F.col("is_irap") & ~F.col("is_rasl") & (F.col("dec_idx") > 0), F.struct(F.col("dec_idx").cast("long").alias("at"), F.col("pts").cast("long").alias("value")))
     first = F.min(F.when(F.col("dec_idx") == 0, F.col("pts")))
     per_clip = samples.groupBy(clip).agg(F.array_sort(F.collect_list(candidate)).alias("c"), F.count("*").alias("n"), first.alias("first"))
     return _ranges(per_clip.select(clip, "n", _greedy(F.col("c"), F.col("first"), target_ms).alias("cuts")), clip)

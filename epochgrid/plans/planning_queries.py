@@ -30,7 +30,7 @@ def duplicate_stems(spark, sf_dir):
 
 _TRACKS = """
 tracks AS (SELECT l_orderkey AS clip_id, CASE WHEN l_linenumber % 3 = 0 THEN 'video' WHEN l_linenumber % 3 = 1 THEN 'audio' ELSE 'text' END AS kind,
-  ['avc1', 'hvc1', 'av01', 'vp09', 'xxxx'][l_partkey % 5 + 1] AS codec FROM lineitem WHERE l_linenumber <= 4)"""
+  ['avc1', 'hvc1', 'av01', 'vp09', 'xxxx'][l_partkey % 5 + 1] AS codec FROM lineitem)"""
 
 
 @query(f"""

@@ -69,7 +69,7 @@ def write(path: str, kind: pa.Schema, rows: Iterable[dict], batch_epochs: int) -
     try:
         handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
     except FileExistsError:
-        raise IngestError("output already exists; choose a new path") from None
+        raise IngestError(f"{path} exists, and is never replaced") from None
     try:
         n, held = 0, []
         with os.fdopen(handle, "wb") as f, pa.ipc.new_file(f, kind) as out:

@@ -18,6 +18,11 @@ def register(code: str, decoder: Callable) -> None:
     _DECODERS[code] = decoder
 
 
+def register_all(decoders: dict[str, Callable] | None) -> None:
+    """In a task's process: functions that came with the task."""
+    _DECODERS.update(decoders or {})
+
+
 def decoder(code: str) -> Callable:
     if code not in _DECODERS:
         raise IngestError(f"no decoder for {NAMES.get(code, code)} is installed; register one under '{code}'")

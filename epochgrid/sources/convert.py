@@ -44,10 +44,27 @@ def wav_sound(data: bytes, spec: IngestSpec) -> Sound:
     return Sound(mono, info.rate, info.frames, 0, total, total)
 
 
-def mp4_sound(data: bytes, track: mp4.Track, movie_scale: int, spec: IngestSpec) -> Sound:
+@dataclass
+class Span:
+    """Where a track's sound lies: samples to leave out, output samples before and in all, and its length at its rate."""
+
+    skip: int
+    delay: int
+    length: int
+    total: int
+
+
+def audio_span(track: mp4.Track, movie_scale: int) -> Span:
     skip, delay, duration = mp4.timeline(track, movie_scale)
     if track.codec == "mp4a" and track.config:
         _, track.rate, track.channels = mp4.audio_config(track.config)
+    before = round(delay * kernels.RATE)
+    length = round((duration - delay) * track.rate)
+    return Span(round(skip * track.rate), before, length, length * kernels.RATE // track.rate + before)
+
+
+def mp4_sound(data: bytes, track: mp4.Track, movie_scale: int, spec: IngestSpec) -> Sound:
+    span = audio_span(track, movie_scale)
     units = mp4.samples(track, len(data))
     if any(u.dts != sum_ or u.cts != u.dts for u, sum_ in zip(units, np.cumsum([0] + [u.duration for u in units[:-1]]).tolist(), strict=True)):
         raise IngestError("audio units are not contiguous")
@@ -55,11 +72,8 @@ def mp4_sound(data: bytes, track: mp4.Track, movie_scale: int, spec: IngestSpec)
     mono = np.concatenate(parts) if parts else np.zeros(0, np.float32)
     if not np.isfinite(mono).all():
         raise IngestError("audio has samples that are not finite")
-    mono = mono[round(skip * track.rate) :]
-    before = round(delay * kernels.RATE)
-    length = round((duration - delay) * track.rate)
-    total = length * kernels.RATE // track.rate + before
-    return Sound(mono[:length], track.rate, length, before, total, min(total, _checked_tail(len(mono), length, track.rate, before, spec)))
+    mono = mono[span.skip :]
+    return Sound(mono[: span.length], track.rate, span.length, span.delay, span.total, min(span.total, _checked_tail(len(mono), span.length, track.rate, span.delay, spec)))
 
 
 @dataclass
@@ -78,6 +92,13 @@ def mp4_pictures(data: bytes, track: mp4.Track, movie_scale: int) -> Pictures:
     return Pictures(track, duration * 1000, units)
 
 
+def epoch_count(sound: Sound | Span | None, pictures: Pictures | None, spec: IngestSpec) -> int:
+    """Epochs that the longer of the two fills."""
+    sound_ms = -(-sound.total * 1000 // kernels.RATE) if sound else 0
+    picture_ms = int(np.ceil(pictures.duration_ms)) if pictures else 0
+    return -(-max(sound_ms, picture_ms) // spec.window_ms)
+
+
 def choose(times: list[int], window_ms: int, total: int) -> list[tuple[int, int, int]]:
     """(time, first epoch, epoch behind the last) of each picture that serves an epoch; times ascend."""
     out, begin = [], 0
@@ -110,7 +131,7 @@ def epochs(name: str, data: bytes, spec: IngestSpec) -> tuple[dict, Iterator[dic
     if kind not in ("mp4", "wav"):
         raise IngestError(f"unsupported extension '{kind}'; .mp4 (H.264 or H.265 video, AAC-LC audio) and .wav are read")
     if not data:
-        raise IngestError("input file is empty")
+        raise IngestError(f"{name} holds no bytes")
     sound = pictures = None
     if kind == "wav":
         sound = wav_sound(data, spec)
@@ -122,9 +143,7 @@ def epochs(name: str, data: bytes, spec: IngestSpec) -> tuple[dict, Iterator[dic
             pictures = mp4_pictures(data, video, scale)
         if audio is not None:
             sound = mp4_sound(data, audio, scale, spec)
-    sound_ms = -(-sound.total * 1000 // kernels.RATE) if sound else 0
-    picture_ms = int(np.ceil(pictures.duration_ms)) if pictures else 0
-    total = -(-max(sound_ms, picture_ms) // spec.window_ms)
+    total = epoch_count(sound, pictures, spec)
     if not total:
         raise IngestError("no epochs produced")
     matrix = "none"
@@ -189,18 +208,24 @@ def video_rows(pictures: Pictures, data: bytes, spec: IngestSpec, total: int, bt
     chosen = choose(times, spec.window_ms, total)
     wanted = {t for t, _, _ in chosen}
     units = needed(pictures.units, wanted, pictures.track, data, spec.skip_nonref)
-    guard_sets(pictures.track, units, data)
-    spans = iter(chosen)
-    span = next(spans)
-    for pts, y, u, v, width, height in codecs.decoder(pictures.track.codec)(pictures.track.config, [(s, t, data[s.offset : s.offset + s.size]) for s, t in units]):
+    for pts, tensor, beg, fin in pictures_of(pictures.track, units, data, iter(chosen), spec, bt709, full):
+        for _ in range(fin - beg):
+            yield pts, tensor
+
+
+def pictures_of(track: mp4.Track, units: list[tuple[mp4.Sample, int]], data: bytes, chosen: Iterator[tuple[int, int, int]], spec: IngestSpec, bt709: bool, full: bool) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """Time, tensor and epochs of the chosen pictures, which ascend, decoded from these units."""
+    guard_sets(track, units, data)
+    span = next(chosen, None)
+    if span is None:
+        return
+    for pts, y, u, v, width, height in codecs.decoder(track.codec)(track.config, [(s, t, data[s.offset : s.offset + s.size]) for s, t in units]):
         if pts != span[0]:
             continue
-        if (width, height) != (pictures.track.width, pictures.track.height):
+        if (width, height) != (track.width, track.height):
             raise IngestError("resolution changes within the video")
-        tensor = kernels.to_tensor(y, u, v, width, height, spec.resolution, bt709, full)
-        for _ in range(span[2] - span[1]):
-            yield pts, tensor
-        span = next(spans, None)
+        yield pts, kernels.to_tensor(y, u, v, width, height, spec.resolution, bt709, full), span[1], span[2]
+        span = next(chosen, None)
         if span is None:
             return
     raise IngestError("a picture that an epoch needs was not decoded")

@@ -93,7 +93,7 @@ class EpochWriter(DataSourceArrowWriter):
 
     def __init__(self, path: str, overwrite: bool) -> None:
         if os.path.exists(path) and os.listdir(path) and not overwrite:
-            raise IngestError("output already exists; choose a new path")
+            raise IngestError(f"{path} exists, and is never replaced")
         self.path, self.job, self.overwrite = path, uuid.uuid4().hex, overwrite
         os.makedirs(path, exist_ok=True)
 

@@ -18,28 +18,49 @@ from . import artifact, convert
 EPOCH_SCHEMA = "path string, timestamp_ms long, audio_valid_frames long, video_timestamp_ms long, video_tensor array<float>, audio_mel_tensor array<float>"
 
 
-def epoch_table(files: DataFrame, spec: IngestSpec | None = None) -> DataFrame:
+def epoch_table(files: DataFrame, spec: IngestSpec | None = None, quarantine: bool = False) -> DataFrame:
     """Epoch rows of many files. files: path and content, as Spark's binaryFile source gives them (also as a stream).
 
-    One file is one row and one task's work; batches of at most batch_epochs rows leave it, so that memory does not grow
-    with a file's length beyond its bytes. Without video the two columns are null.
+    One file is one row and one task's work (chunked.chunked_epoch_table deals a video's chunks to several); batches of at
+    most batch_epochs rows leave it, so that memory does not grow with the rows of a file, but with its bytes and its mono
+    signal. Without video the two columns are null.
+
+    A file that can't be converted fails the job. With quarantine it doesn't: there is a column error, and the file's last
+    row has nothing but its path and what went wrong; rows before it are those that were made until then.
     """
     spec = spec or IngestSpec()
+    schema = EPOCH_SCHEMA + ", error string" if quarantine else EPOCH_SCHEMA
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def out(batch):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string())], names=names) if quarantine else batch
+
+    def failed(path, error):
+        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float32()))]
+        return pa.RecordBatch.from_arrays([pa.array([path]), *empty, pa.array([str(error)])], names=names)
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, rows = convert.epochs(path, data.as_py(), spec)
                 held = []
-                for row in rows:
-                    held.append(row)
-                    if len(held) == spec.batch_epochs:
-                        yield _batch(path, held)
-                        held = []
+                try:
+                    _, rows = convert.epochs(path, data.as_py(), spec)
+                    for row in rows:
+                        held.append(row)
+                        if len(held) == spec.batch_epochs:
+                            yield out(_batch(path, held))
+                            held = []
+                except (IngestError, ValueError) as e:
+                    if not quarantine:
+                        raise
+                    if held:
+                        yield out(_batch(path, held))
+                    yield failed(path, e)
+                    continue
                 if held:
-                    yield _batch(path, held)
+                    yield out(_batch(path, held))
 
-    return files.select("path", "content").mapInArrow(run, EPOCH_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def _batch(path: str, rows: list[dict]) -> pa.RecordBatch:
@@ -64,9 +85,9 @@ def ingest(source: str, output: str, **options) -> dict:
     spec = IngestSpec(**{k: v for k, v in options.items() if v is not None})
     source, output = os.fspath(source), os.fspath(output)
     if not os.path.isfile(source):
-        raise IngestError(f"input does not exist: {source}")
+        raise IngestError(f"no file at {source}")
     if os.path.exists(output):
-        raise IngestError("output already exists; choose a new path")
+        raise IngestError(f"{output} exists, and is never replaced")
     began = time.perf_counter()
     with open(source, "rb") as f:
         data = f.read()
@@ -105,7 +126,7 @@ def ingest_many(spark: SparkSession, sources: list[str], out_dir: str, skip_exis
                 try:
                     if os.path.exists(output):
                         if not skip_existing:
-                            raise IngestError("output already exists; choose a new path")
+                            raise IngestError(f"{output} exists, and is never replaced")
                         with artifact.load(output) as d:
                             n = len(d)
                     else:

@@ -24,7 +24,7 @@ class Wav:
 
 
 def parse(data: bytes) -> Wav:
-    """Whole bytes, or at least up to the start of the samples and their declared size."""
+    """The file's whole bytes."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise IngestError("not a WAV file")
     at, fmt = 12, None
@@ -52,7 +52,8 @@ def parse(data: bytes) -> Wav:
             width = (bits + 7) // 8 * channels
             if block != width:
                 raise IngestError("WAV frame size is inconsistent")
-            size = min(size, len(data) - body)
+            if size > len(data) - body:
+                raise IngestError(f"WAV is cut off: {size} bytes of samples declared, {len(data) - body} there")
             if size % width:
                 raise IngestError("WAV ends within a frame")
             if not size:

@@ -13,6 +13,22 @@ class IngestError(RuntimeError):
     """An input that can't be converted."""
 
 
+#: The least and most of each option.
+_LIMITS = (
+    ("window_sec", 0.05, 10, " s"),
+    ("resolution", 32, 1024, ""),
+    ("batch_epochs", 1, 1024, ""),
+    ("queue_mib", 0, 64, " MiB"),
+    ("queue_depth", 1, 4, ""),
+    ("video_workers", 0, 64, ""),
+    ("chunk_target_ms", 250, 60_000, " ms"),
+    ("video_buffer_mib", 1, 1024, " MiB"),
+    ("audio_tail_tolerance_ms", 0, 1000, " ms"),
+)
+_CHOICES = (("execution", ("sequential", "concurrent")), ("decoder_threads", (0, 1, 2, 4)))
+MAX_BATCH_BYTES = 256 << 20
+
+
 @dataclass(frozen=True)
 class IngestSpec:
     """Only window_sec, resolution, audio_tail_tolerance_ms and the input change values; the rest shapes the work."""
@@ -34,25 +50,20 @@ class IngestSpec:
     verbose: bool = False
 
     def __post_init__(self) -> None:
+        for name, low, high, unit in _LIMITS:
+            value = getattr(self, name)
+            if value is not None and not low <= value <= high:
+                raise UsageError(f"{name} is {value}, outside of {low} to {high}{unit}")
+        for name, known in _CHOICES:
+            if getattr(self, name) not in known:
+                raise UsageError(f"{name} is {getattr(self, name)!r}, not one of {', '.join(map(str, known))}")
         hops = self.window_sec * 100
-        rules = (
-            (0.05 <= self.window_sec <= 10, "window_sec must be between 0.05 and 10 seconds"),
-            (abs(hops - round(hops)) < 1e-6, "window_sec must be a multiple of 0.01 seconds"),
-            (32 <= self.resolution <= 1024, "resolution must be between 32 and 1024"),
-            (1 <= self.batch_epochs <= 1024, "batch_epochs must be between 1 and 1024"),
-            (self.execution in ("sequential", "concurrent"), "execution must be sequential or concurrent"),
-            (0 <= self.queue_mib <= 64, "queue_mib must be 0..64"),
-            (1 <= self.queue_depth <= 4, "queue_depth must be 1..4"),
-            (self.decoder_threads == 0, "decoder_threads must be 0: Spark schedules the work"),
-            (self.video_workers is None or 0 <= self.video_workers <= 64, "video_workers must be 0..64"),
-            (250 <= self.chunk_target_ms <= 60_000, "chunk_target_ms must be 250..60000"),
-            (1 <= self.video_buffer_mib <= 1024, "video_buffer_mib must be 1..1024"),
-            (0 <= self.audio_tail_tolerance_ms <= 1000, "audio_tail_tolerance_ms must be 0..1000"),
-            (self.row_bytes * self.batch_epochs <= 256 << 20, "a batch exceeds 256 MiB; reduce batch_epochs or resolution"),
-        )
-        for ok, what in rules:
-            if not ok:
-                raise UsageError(what)
+        if abs(hops - round(hops)) >= 1e-6:
+            raise UsageError(f"window_sec is {self.window_sec}: a window holds whole hops of 0.01 s")
+        if self.decoder_threads and self.video_workers not in (None, 1):
+            raise UsageError("with decoder_threads there is one video worker, so video_workers has to be left out or 1")
+        if self.row_bytes * self.batch_epochs > MAX_BATCH_BYTES:
+            raise UsageError(f"{self.batch_epochs} epochs of {self.row_bytes} bytes are more than a batch of {MAX_BATCH_BYTES} bytes holds")
 
     @property
     def frames(self) -> int:

@@ -101,6 +101,8 @@ def test_hevc_units():
     assert nal.hevc_record(record) == (4, nal.START_CODE + b"abc" + nal.START_CODE + b"de")
     with pytest.raises(ValueError):
         nal.hevc_record(record[:-1])
+    with pytest.raises(ValueError):
+        nal.hevc_record(bytes([1, *[0] * 20, 3, 0, 0]))
     with pytest.raises(ValueError):
         nal.hevc_annex_b(unit(hevc(1, 1)), 4)
 
@@ -323,6 +325,54 @@ def test_video_from_end_to_end(tmp_path, skip_nonref):
         assert luma == [100 + times.index(t) for t in want]
 
 
+def long_clip(groups=6, codec=b"avc1"):
+    """Groups of eight pictures in decode order I P B B P B B P, each after a refresh; times step by 40 ms."""
+    order = [0, 3, 1, 2, 6, 4, 5, 7]
+    units, shifts = [], []
+    for g in range(groups):
+        for i, o in enumerate(order):
+            header = b"\x65" if i == 0 else b"\x41" if i in (1, 4, 7) else b"\x01"
+            units.append(unit(header + bytes([20 + (8 * g + o) * 3 % 200])))
+            shifts.append(8 * g + o - len(shifts))
+    return movie(units, shifts, [8 * g for g in range(groups)], scale=25, codec=codec)
+
+
+@pytest.mark.parametrize("skip_nonref", [True, False])
+def test_chunks_decode_apart(spark, tmp_path, skip_nonref):
+    """A file is decoded in several tasks, with the rows of one task; options take effect."""
+    from epochgrid.sources import chunked
+
+    codecs.register("avc1", fake_decoder)
+    (tmp_path / "a.mp4").write_bytes(long_clip())
+    (tmp_path / "b.mp4").write_bytes(long_clip(3))
+    files = read_files(spark, str(tmp_path / "*.mp4"))
+    spec = IngestSpec(resolution=32, window_sec=0.1, batch_epochs=2, chunk_target_ms=300, skip_nonref=skip_nonref)
+    want = {}
+    for name in ("a", "b"):
+        _, rows = convert.epochs("x.mp4", (tmp_path / f"{name}.mp4").read_bytes(), spec)
+        want[f"{name}.mp4"] = [(r["timestamp_ms"], r["audio_valid_frames"], r["video_timestamp_ms"], r["video_tensor"].tolist(), r["audio_mel_tensor"].tolist()) for r in rows]
+    counts = {os.path.basename(r.path): (r.chunks, r.decoded) for r in chunked.chunk_counts(files, spec).collect()}
+    assert counts["a.mp4"][0] == 6 and counts["b.mp4"][0] == 3 and (counts["a.mp4"][1] < 48) == skip_nonref
+    longer = chunked.chunk_counts(files, IngestSpec(resolution=32, window_sec=0.1, chunk_target_ms=700)).collect()
+    assert {os.path.basename(r.path): r.chunks for r in longer} == {"a.mp4": 2, "b.mp4": 1}  # groups last 320 ms
+    table = chunked.chunked_epoch_table(files, spec, {"avc1": fake_decoder})
+    rows = table.collect()
+    assert len({r.pid for r in table.select("path", F.spark_partition_id().alias("pid")).collect()}) > 2
+    for name in want:
+        mine = sorted((r.timestamp_ms, r.audio_valid_frames, r.video_timestamp_ms, r.video_tensor, r.audio_mel_tensor) for r in rows if r.path.endswith(name))
+        assert mine == want[name]
+
+
+def test_a_broken_file_does_not_stop_the_others(spark, wavs):
+    (wavs / "broken.wav").write_bytes((wavs / "a.wav").read_bytes()[:60])
+    files = read_files(spark, *[str(wavs / f"{n}.wav") for n in ("a", "b", "broken")])
+    rows = epoch_table(files, quarantine=True).collect()
+    assert sorted({os.path.basename(r.path) for r in rows if r.error is None}) == ["a.wav", "b.wav"]
+    assert [os.path.basename(r.path) for r in rows if r.error] == ["broken.wav"]
+    with pytest.raises(Exception, match="IngestError|ValueError"):
+        epoch_table(files).collect()
+
+
 def test_changed_sets_are_refused():
     codecs.register("avc1", fake_decoder)
     good = clip()
@@ -414,9 +464,10 @@ def test_nothing_is_overwritten_or_left(wavs):
 
 
 def test_options():
-    for bad in ({"window_sec": 0.333}, {"window_sec": 11}, {"resolution": 16}, {"batch_epochs": 0}, {"resolution": 1024, "batch_epochs": 1024}, {"execution": "x"}, {"decoder_threads": 2}, {"chunk_target_ms": 1}, {"queue_depth": 5}):
+    for bad in ({"window_sec": 0.333}, {"window_sec": 11}, {"resolution": 16}, {"batch_epochs": 0}, {"resolution": 1024, "batch_epochs": 1024}, {"execution": "x"}, {"decoder_threads": 3}, {"decoder_threads": 2, "video_workers": 2}, {"chunk_target_ms": 1}, {"queue_depth": 5}):
         with pytest.raises(UsageError):
             IngestSpec(**bad)
+    assert [IngestSpec(decoder_threads=n).decoder_threads for n in (0, 1, 2, 4)] == [0, 1, 2, 4]
 
 
 def test_tail():
@@ -502,3 +553,23 @@ def test_presentation_order_in_a_stream(spark, tmp_path):
     assert run([("a", i, p) for i, p in enumerate(order)] + [("a", len(order), None)], "ordered") == list(range(120))
     with pytest.raises(Exception, match="comes after"):
         run([("a", i, p) for i, p in enumerate([*range(1, 71), 0])], "late")
+
+
+def test_presentation_order_over_triggers(spark, tmp_path):
+    """Pictures that come before their turn wait for those before; a clip's end removes its state."""
+    from epochgrid.streaming.tracks import presented
+
+    folder = tmp_path / "in"
+    order = [p for g in range(30) for p in (g * 4, g * 4 + 3, g * 4 + 1, g * 4 + 2)]
+    rows = [(c, i, p) for c in "ab" for i, p in enumerate(order)] + [("a", 120, None)]
+    random.Random(5).shuffle(rows)
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], "clip_id string, dec_idx long, pts long").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("clip_id string, dec_idx long, pts long").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = presented(stream).writeStream.format("memory").queryName("over_triggers").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("over_triggers").collect()
+    assert [r.pts for r in got if r.clip_id == "a"] == list(range(120))
+    assert [r.pts for r in got if r.clip_id == "b"] == list(range(120 - 34))
+    states = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert states[-1] == 1
