@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .kernels import PHASES, RADIUS
+from .timeline import div
 
 
 def total(values: Column) -> Column:
@@ -77,9 +78,15 @@ def phase_of(fraction: Column) -> Column:
     return F.least(F.round(fraction * float(PHASES)), F.lit(PHASES - 1)).cast("long")
 
 
-def nearest(target: Column, size_to: int, size_from: int) -> Column:
+def nearest(target: Column, size_to: int, size_from: Column | int) -> Column:
     """Aligned corners."""
-    return F.floor(target * (size_from - 1) / (size_to - 1)).cast("long") if size_to > 1 else F.lit(0).cast("long")
+    return div(target * (size_from - 1), size_to - 1) if size_to > 1 else F.lit(0).cast("long")
+
+
+def chroma(source: Column, size_from: Column | int) -> Column:
+    """The place in a plane of half the size, rounded up."""
+    size = size_from if isinstance(size_from, Column) else F.lit(size_from)
+    return F.least(div(source, 2), div(size.cast("long") + 1, 2) - 1)
 
 
 def yuv_to_rgb(y: Column, u: Column, v: Column, bt709: Column, full: Column) -> tuple[Column, Column, Column]:

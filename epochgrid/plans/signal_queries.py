@@ -175,9 +175,9 @@ FROM (SELECT p_partkey, p_size, unnest(range(32)) AS dst FROM part)""")
 def resize_index(spark, sf_dir):
     """Rows of p_size + 16 columns to 32."""
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("dst"))
-    src = t.div(F.col("dst") * (F.col("p_size") + 15), 31)
-    half = t.div(F.col("p_size").cast("long") + 17, 2) - 1
-    return rows.select("p_partkey", "dst", src.alias("src"), F.least(t.div(src, 2), half).alias("chroma"))
+    size = F.col("p_size").cast("long") + 16
+    src = dsp.nearest(F.col("dst"), 32, size)
+    return rows.select("p_partkey", "dst", src.alias("src"), dsp.chroma(src, size).alias("chroma"))
 
 
 @query(f"""
