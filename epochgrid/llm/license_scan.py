@@ -157,21 +157,25 @@ def scan(texts: list[str], templates: Templates, contained: float = CONTAINED) -
     for width in templates.classes:
         begin, text, last = _segments(firsts, max(1, width // STRIDES), k)
         made_of = begin if finer is None else np.searchsorted(finer, begin)
-        laid[width] = begin, text, made_of, [np.minimum(np.arange(len(begin)) + s, last) for s in range(1, span)]
+        # Near a text's end windows are shorter: the segments that these have are listed.
+        tail = np.flatnonzero(last - np.arange(len(begin)) < span - 1)
+        laid[width] = begin, text, made_of, tail, [np.minimum(tail + s, last[tail]) for s in range(1, span)]
         finer = begin
     same = {width: np.zeros((len(members), len(laid[width][0])), dtype=bool) for width, members in templates.classes.items()}
     for j in range(HASHES):
         low = (short ^ _XOR[j]) * _TIMES[j]
         low[unreal] = np.uint32(0xFFFFFFFF)
         for width in templates.classes:
-            _, _, made_of, more = laid[width]
+            _, _, made_of, tail, more = laid[width]
             low = np.minimum.reduceat(low, made_of)
-            window = low.copy()
-            for at in more:
-                np.minimum(window, low[at], out=window)
+            window, short_ones = low.copy(), low[tail]
+            for s, at in enumerate(more, 1):
+                np.minimum(window[:-s], low[s:], out=window[:-s])
+                np.minimum(short_ones, low[at], out=short_ones)
+            window[tail] = short_ones
             same[width] |= window[None, :] == templates.bands[width][:, j, None]
     for width, members in templates.classes.items():
-        begin, text, _, _ = laid[width]
+        begin, text, _, _, _ = laid[width]
         for m, i in enumerate(members):
             need = templates.sets[i]
             for w in np.flatnonzero(same[width][m]).tolist():
