@@ -11,6 +11,7 @@ import glob
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql.datasource import (
@@ -32,6 +33,10 @@ from pyspark.sql.types import ArrayType, FloatType, LongType, StructType
 from ..spec import IngestError
 
 
+#: Files that the driver opens at a time while it plans a scan.
+LISTERS = 16
+
+
 def _files(path: str) -> list[str]:
     found = sorted(glob.glob(os.path.join(path, "*.arrow"))) if os.path.isdir(path) else sorted(glob.glob(path))
     if not found:
@@ -52,26 +57,31 @@ class BatchPartition(InputPartition):
 class EpochReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType) -> None:
         self.path, self.names = path, schema.fieldNames()
-        self.low, self.high = -(1 << 62), 1 << 62
+        self.low, self.high, self.filtered = -(1 << 62), 1 << 62, False
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
             if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("timestamp_ms",):
+                self.filtered = True
                 if not isinstance(f, (LessThan, LessThanOrEqual)):
                     self.low = max(self.low, f.value)
                 if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.high = min(self.high, f.value)
             yield f  # Spark filters the rows of the batches that are left
 
+    def _batches(self, path: str) -> list[InputPartition]:
+        """Batches of a file that may hold rows within the filters; without a filter the footer tells."""
+        with pa.memory_map(path) as source:
+            reader = pa.ipc.open_file(source)
+            found = range(reader.num_record_batches)
+            if self.filtered:
+                times = ((i, reader.get_batch(i).column("timestamp_ms")) for i in found)
+                found = [i for i, t in times if len(t) and t[-1].as_py() >= self.low and t[0].as_py() <= self.high]
+            return [BatchPartition(path, i) for i in found]
+
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path in _files(self.path):
-            with pa.memory_map(path) as source:
-                reader = pa.ipc.open_file(source)
-                for i in range(reader.num_record_batches):
-                    times = reader.get_batch(i).column("timestamp_ms")
-                    if len(times) and times[-1].as_py() >= self.low and times[0].as_py() <= self.high:
-                        out.append(BatchPartition(path, i))
+        with ThreadPoolExecutor(LISTERS) as pool:
+            out = [p for found in pool.map(self._batches, _files(self.path)) for p in found]
         return out or [BatchPartition("", 0)]
 
     def read(self, partition: BatchPartition) -> Iterator[pa.RecordBatch]:
@@ -116,15 +126,19 @@ class EpochWriter(DataSourceArrowWriter):
         return Written(part if out is not None else None, rows)
 
     def commit(self, messages: list[Written | None]) -> None:
-        if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.arrow")):
-                os.unlink(old)
-        for i, m in enumerate(m for m in messages if m is not None and m.part):
+        """All files are verified before one is published, and old ones go when all new ones are there."""
+        old = glob.glob(os.path.join(self.path, "*.arrow"))
+        written = [m for m in messages if m is not None and m.part]
+        for m in written:
             with pa.memory_map(m.part) as source:
                 found = pa.ipc.open_file(source)
                 if sum(found.get_batch(k).num_rows for k in range(found.num_record_batches)) != m.rows:
                     raise IngestError("the written file is not complete")
-            os.rename(m.part, os.path.join(self.path, f"part-{i:05d}.arrow"))
+        for i, m in enumerate(written):
+            os.rename(m.part, os.path.join(self.path, f"part-{i:05d}-{self.job}.arrow"))
+        if self.overwrite:
+            for path in old:
+                os.unlink(path)
         self._sweep()
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -7,11 +7,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from epochgrid import cli
 from epochgrid.functions import kernels, nal, sps
 from epochgrid.sources import artifact, codecs, convert, mp4, wav
-from epochgrid.sources.datasource import EpochSource
+from epochgrid.sources.datasource import EpochReader, EpochSource, EpochWriter
 from epochgrid.sources.ingest import epoch_table, ingest, ingest_many, read_files, sample_table
 from epochgrid.spec import IngestError, IngestSpec, UsageError
 
@@ -524,6 +525,25 @@ def test_epoch_table_and_source(spark, wavs):
     assert [r.timestamp_ms for r in spark.read.format("epochs").load(out).where("timestamp_ms >= 1000").collect()] == [1000]
     assert not [f for f in os.listdir(out) if f.endswith(".part")]
     assert pa.ipc.open_file(os.path.join(out, sorted(os.listdir(out))[0])).schema.field("audio_mel_tensor").type == pa.list_(pa.float32(), 3200)
+    one.where("timestamp_ms > 0").write.format("epochs").mode("overwrite").save(out)
+    assert sorted(r.timestamp_ms for r in spark.read.format("epochs").load(out).collect()) == [500, 1000]
+
+
+def test_broken_part_leaves_old_files(tmp_path):
+    kind = pa.schema([("timestamp_ms", pa.int64())])
+    for rows in (1, 2):
+        writer = EpochWriter(str(tmp_path), True)
+        done = [writer.write(iter([pa.record_batch([pa.array([at])], schema=kind)])) for at in range(rows)]
+        writer.commit([*done, None])
+        assert sorted(r for b in EpochReader(str(tmp_path), from_arrow_schema(kind)).partitions() for r in [b.index]) == [0] * rows
+    writer = EpochWriter(str(tmp_path), True)
+    good, bad = (writer.write(iter([pa.record_batch([pa.array([7])], schema=kind)])) for _ in range(2))
+    before = sorted(f for f in os.listdir(tmp_path) if f.endswith(".arrow"))
+    bad.rows += 1
+    with pytest.raises(IngestError, match="not complete"):
+        writer.commit([good, bad])
+    writer.abort([])
+    assert sorted(os.listdir(tmp_path)) == before and len(before) == 2
 
 
 # --- streams ----------------------------------------------------------------------------------------------------------
