@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import nal
 from ..functions import timeline as t
 from ..operators import planning
+from ..operators.compare import ordered_digests
+from ..operators.quantiles import quantiles
 from .registry import E6, TRACK_SQL, query, read, scaled, track
 
 
@@ -101,8 +103,9 @@ def stage_profile(spark, sf_dir):
 @query(f"""
 SELECT l_suppkey, count(*) AS n, CAST(round(quantile_cont(l_extendedprice, 0.5) * 10000) AS BIGINT) AS median_e4, CAST(round(quantile_cont(l_extendedprice, 0.05) * 10000) AS BIGINT) AS p5_e4, CAST(round(quantile_cont(l_extendedprice, 0.95) * 10000) AS BIGINT) AS p95_e4 FROM lineitem GROUP BY l_suppkey""")
 def bench_summary(spark, sf_dir):
-    q = lambda p, n: scaled(F.percentile("l_extendedprice", F.lit(p)), 10_000).alias(n)
-    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), q(0.5, "median_e4"), q(0.05, "p5_e4"), q(0.95, "p95_e4"))
+    points = {"median_e4": 0.5, "p5_e4": 0.05, "p95_e4": 0.95}
+    found = quantiles(read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", points, F.count("*").alias("n"))
+    return found.select("l_suppkey", "n", *[scaled(F.col(p), 10_000).alias(p) for p in points])
 
 
 @query("""
@@ -117,9 +120,8 @@ WITH r AS (SELECT o_custkey AS clip_id, row_number() OVER (PARTITION BY o_custke
 SELECT clip_id, count(*) AS rows, sha256(string_agg(o_orderkey, ',' ORDER BY i)) AS key_digest, sha256(string_agg(o_orderstatus, ',' ORDER BY i)) AS status_digest FROM r GROUP BY clip_id""")
 def column_digest(spark, sf_dir):
     """A digest for each logical column of a clip, in the order of its rows, whatever the batches."""
-    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("clip_id")).agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))).alias("r"))
-    digest = lambda c: F.sha2(F.array_join(F.col("r").getField(c).cast("array<string>"), ","), 256)
-    return rows.select("clip_id", "rows", digest("o_orderkey").alias("key_digest"), digest("o_orderstatus").alias("status_digest"))
+    rows = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "clip_id")
+    return ordered_digests(rows, "clip_id", ["o_orderdate", "o_orderkey"], {"key_digest": "o_orderkey", "status_digest": "o_orderstatus"})
 
 
 @query(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions import timeline as t
+from ..operators.quantiles import quantiles
 from .registry import E6, query, read, scaled
 
 
@@ -226,7 +227,8 @@ def fidelity_metrics(spark, sf_dir):
     """Vectors against a copy rounded to two digits."""
     rows = read(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
     d = rows.select("label", F.abs(F.col("x") - F.round(F.col("x") * 100) / 100).alias("d"))
-    return d.groupBy("label").agg(F.count("*").alias("n"), scaled(F.avg("d")).alias("mae_e6"), scaled(F.max("d")).alias("most_e6"), scaled(F.percentile("d", F.lit(0.99))).alias("p99_e6"), scaled(F.log10(F.avg(F.col("d") * F.col("d"))) * -10, 1000).alias("psnr_e3"))
+    also = [F.count("*").alias("n"), scaled(F.avg("d")).alias("mae_e6"), scaled(F.max("d")).alias("most_e6"), scaled(F.log10(F.avg(F.col("d") * F.col("d"))) * -10, 1000).alias("psnr_e3")]
+    return quantiles(d, ["label"], "d", {"p99": 0.99}, *also).withColumn("p99_e6", scaled(F.col("p99"))).drop("p99")
 
 
 @query("""

@@ -1,12 +1,16 @@
 """Closed-form vectors and edge cases of the operators."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from epochgrid.functions import timeline as t
 from epochgrid.operators import align, chunks, planning, selection, skip
+from epochgrid.operators.compare import ordered_digests
+from epochgrid.operators.quantiles import quantiles
 from epochgrid.plans import planning_queries
 from epochgrid.sources.convert import choose
 
@@ -151,3 +155,52 @@ def test_epoch_select_shuffles_once(spark, sf_dir):
     plan = selection.select_epochs(gridded(track(spark, sf_dir)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+POINTS = {"least": 0.0, "p5": 0.05, "p50": 0.5, "p99": 0.99, "most": 1.0}
+
+
+def test_quantiles_of_any_group(spark):
+    """Against numpy: a hot group, heavy tails, ties, few values, none, a null key and a clashing name."""
+    rng = np.random.default_rng(5)
+    groups = {1: rng.standard_cauchy(30_000), 2: np.repeat([1.0, 2.0, 2.0, 9.0], 700), 3: np.array([4.0]), 4: np.array([4.0, 5.0]), None: rng.random(50), 6: np.exp(rng.normal(0, 9, 5000))}
+    rows = [(k, float(v), "x") for k, vs in groups.items() for v in vs] + [(5, None, "x"), (1, None, "x")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, v double, label string").repartition(13)
+    got = {r["k"]: r for r in quantiles(df, ["k"], "v", POINTS, F.count("*").alias("n"), F.max("label").alias("label")).collect()}
+    assert set(got) == {*groups, 5}
+    for k, vs in groups.items():
+        assert [got[k][p] for p in POINTS] == pytest.approx([np.quantile(vs, q) for q in POINTS.values()], rel=1e-12)
+    assert got[1]["n"] == 30_001 and got[5]["n"] == 1 and all(got[5][p] is None for p in POINTS)
+    assert quantiles(df.limit(0), ["k"], "v", POINTS).count() == 0
+
+
+def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch):
+    """Bounds that miss the rank are opened."""
+    from epochgrid.operators import quantiles as module
+
+    wrong = lambda c, ends, accuracy: F.array(*[F.lit(1e9 if i % 4 < 2 else -1e9) for i in range(len(ends))])
+    monkeypatch.setattr(module.F, "percentile_approx", wrong)
+    vs = [float(v) for v in range(1000)]
+    got = quantiles(spark.createDataFrame([(1, v) for v in vs], "k int, v double"), ["k"], "v", POINTS).first()
+    assert [got[p] for p in POINTS] == pytest.approx([np.quantile(vs, q) for q in POINTS.values()])
+
+
+def test_quantiles_do_not_gather_a_group(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    plan = quantiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "collect_" not in plan and "NestedLoop" not in plan
+
+
+def test_ordered_digests(spark):
+    """Over several batches, with nulls, and whatever the partitions."""
+    rows = [(k, i, None if i % 7 == 0 else f"v{i}", None) for k in (1, 2, None) for i in range(25_000 if k == 1 else 5)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, i int, v string, none string")
+    got = {r["k"]: r for r in ordered_digests(df.repartition(5), "k", ["i"], {"a": "v", "b": "i", "c": "none"}).collect()}
+    assert set(got) == {1, 2, None}
+    for k, r in got.items():
+        n = 25_000 if k == 1 else 5
+        digest = lambda xs: hashlib.sha256(",".join(xs).encode()).hexdigest()
+        assert (r["rows"], r["a"], r["b"], r["c"]) == (n, digest([f"v{i}" for i in range(n) if i % 7]), digest([str(i) for i in range(n)]), digest([]))
+    assert ordered_digests(df.limit(0), "k", ["i"], {"a": "v"}).count() == 0
