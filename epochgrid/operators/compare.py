@@ -43,13 +43,14 @@ def ordered_digests(rows: DataFrame, clip: str, order: list[str], columns: dict[
         for batch in batches:
             out, at = [], 0
             runs = pc.run_end_encode(batch.column(0))
+            values = [batch.column(i + 1).to_pylist() for i in range(len(columns))]
             for k, to in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
                 if not state or k != key:
                     if state:
                         out.append(row())
                     key, n, state, begun = k, 0, [hashlib.sha256() for _ in columns], [False for _ in columns]
                 for i, s in enumerate(state):
-                    found = [x for x in batch.column(i + 1).slice(at, to - at).to_pylist() if x is not None]
+                    found = [x for x in values[i][at:to] if x is not None]
                     if found:
                         s.update(("," * begun[i] + ",".join(found)).encode())
                         begun[i] = True
