@@ -1,7 +1,7 @@
 """Quality rules: repetition coverage by rolling hashes of several n-gram lengths.
 
 For each text the words are hashed once per block of texts; the rolling hashes of windows of 3, 5, 8 and 12 words come
-from those. A window that its text holds twice or more (the first included) covers its words. The rules look at the
+from running sums over those, in the same few passes for each length. A window that its text holds twice or more (the first included) covers its words. The rules look at the
 share of the text's word characters that lie inside covered words, for each length, and at the share inside lines that
 equal an earlier line.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .storage import gathered
-from .text import Block, as_rows, blocks, map_batches, mix, span_hashes, sums, texts_of, window_hashes
+from .text import Block, as_rows, blocks, map_batches, mix, rolling_hashes, span_hashes, sums, texts_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -94,7 +94,7 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
         covered = np.zeros(len(words) + 1, dtype=np.int64)
         if len(words) >= size:
             at = np.flatnonzero(text_of[: len(words) - size + 1] == text_of[size - 1 :])
-            keys = window_hashes(words, size)[at] ^ salt[at]
+            keys = rolling_hashes(words, size)[at] ^ salt[at]
             order = np.argsort(keys)
             equal = np.diff(keys[order]) == 0
             twice = np.zeros(len(keys), dtype=bool)

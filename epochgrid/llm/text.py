@@ -75,6 +75,43 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return mix(out)
 
 
+#: Windows that are rolled over at once: bounds the tables of powers.
+_ROLL = 1 << 16
+
+
+def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of ``size`` words by a rolling polynomial, in a few passes whatever the size.
+
+    Window i is the sum of word i + k times the base to the power k: a difference of two running sums, freed of the power
+    of its first word. The base is odd, so its powers have inverses modulo 2**64.
+    """
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=_U)
+    length = min(len(words), _ROLL + size - 1)
+    powers, inverses = _powers(length)[:length], _inverses(length)[:length]
+    out = np.empty(n, dtype=_U)
+    with np.errstate(over="ignore"):
+        for at in range(0, n, _ROLL):
+            part = words[at : at + _ROLL + size - 1]
+            total = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(part * powers[: len(part)], dtype=_U)])
+            rolled = total[size:] - total[:-size]
+            out[at : at + len(rolled)] = rolled * inverses[: len(rolled)]
+        return mix(out)
+
+
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_INVERSES = np.ones(1, dtype=_U)
+
+
+def _inverses(n: int) -> np.ndarray:
+    global _INVERSES
+    while len(_INVERSES) < n:
+        with np.errstate(over="ignore"):
+            _INVERSES = np.concatenate([_INVERSES, _INVERSES * (_INVERSES[-1] * _INVERSE)])
+    return _INVERSES
+
+
 #: The bytes of white space; no other UTF-8 sequence holds them.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

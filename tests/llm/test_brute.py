@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from epochgrid.llm import bpe, html_extract, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, queries, topk_search, url_filter
-from epochgrid.llm.text import Block, blocks, span_hashes, window_hashes
+from epochgrid.llm.text import Block, blocks, rolling_hashes, span_hashes, window_hashes
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -51,6 +51,22 @@ def test_long_text_hashes_in_slices():
     assert len(set(h[:-1].tolist())) == 1 and len(h) == 400_001
 
 
+@pytest.mark.parametrize("size", [1, 3, 12])
+def test_rolling_hashes_tell_windows_apart(size):
+    """Equal for equal windows only, wherever they stand; also beyond one slice, and the wrapped way round."""
+    r = np.random.default_rng(3)
+    kinds = r.integers(0, 2**64, 3, dtype=np.uint64)
+    of = r.integers(0, 3, 150_000)
+    h = rolling_hashes(kinds[of], size)
+    code = np.zeros(len(of) - size + 1, dtype=np.int64)
+    for k in range(size):
+        code = code * 3 + of[k : len(of) - size + 1 + k]
+    assert len(h) == len(code)
+    assert len(set(zip(h.tolist(), code.tolist(), strict=True))) == len(np.unique(code)) == len(np.unique(h))
+    assert (rolling_hashes(kinds[of][70_000:70_050], size) == h[70_000 : 70_051 - size]).all()
+    assert len(rolling_hashes(kinds[:0], size)) == 0 and len(rolling_hashes(kinds[of][: size - 1], size)) == 0
+
+
 # --- 1 ----------------------------------------------------------------------------------------------------------------
 
 
