@@ -74,7 +74,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int = 4, alpha: float = 2.0, beta: float = 0.1, l1: float = 0.002, l2: float = 0.002) -> np.ndarray:
     """FTRL-proximal with a rate for each coordinate. The last weight is the bias.
 
     Vectors are dense in mass, not in length: they sum to 1 for tokens and for pairs, so l1 is small.
@@ -83,7 +83,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int
 
     def at(i):
         v = z[i]
-        w = -(v - np.sign(v) * l1) / ((beta * 0.1 + np.sqrt(n[i])) / alpha + l2)
+        w = -(v - np.sign(v) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
         return np.where(np.abs(v) <= l1, 0.0, w)
 
     for _ in range(epochs):

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -78,6 +79,48 @@ def test_quality_held_out(spark, texts):
     assert len(judged) > 50 and sum(a == b for a, b in judged) / len(judged) > 0.95
 
 
+def brute_ftrl(rows, size, epochs, alpha, beta, l1, l2):
+    """Coordinate by coordinate, each with its own sums; coordinate ``size`` is the bias, which every row has."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for index, value, label in rows:
+            x = defaultdict(float)
+            for i, v in [*zip(index, value, strict=True), (size, 1.0)]:
+                x[i] += v
+            w = {i: weight(i) for i in x}
+            error = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - label
+            for i in x:
+                g = error * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.02, 0.5])
+def test_training_follows_the_regularised_leader(l1):
+    """Against sums kept one by one, with features that stand twice in a row; and l1 leaves weights at zero."""
+    r = np.random.default_rng(4)
+    rows = [(r.integers(0, 30, 8), r.random(8), int(r.random() < 0.4)) for _ in range(120)]
+    rows.append((np.empty(0, np.int64), np.empty(0), 1))
+    got = quality_classifier.ftrl(rows, 40, epochs=3, alpha=0.7, beta=0.3, l1=l1, l2=0.05)
+    want = brute_ftrl(rows, 40, 3, 0.7, 0.3, l1, 0.05)
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert (got[30:40] == 0).all() and (got[:30] != 0).any() and (l1 < 0.5 or (got[:30] == 0).any())
+
+
+def test_training_settles_where_the_loss_does():
+    """Without l1, many passes over separable rows put each on its side."""
+    rows = [(np.array([k]), np.array([1.0]), k % 2) for k in range(10)]
+    w = quality_classifier.ftrl(rows, 10, epochs=50, l1=0.0)
+    assert all((w[k] + w[10] > 0) == bool(k % 2) for k in range(10))
+
+
 def test_scores_are_sparse_dot_products():
     r = np.random.default_rng(1)
     w = r.normal(size=1 << quality_classifier.BITS)
